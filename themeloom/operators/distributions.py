@@ -138,16 +138,16 @@ def kde(df: DataFrame, by: str, value: str, points: int = 512, bins: int = 512)
             F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("punkt"),
         )
         .repartition(by, "punkt")
-        .withColumns({"_low": low, "_step": step, "x": low + F.col("punkt") * (high - low) / F.lit(points - 1)})
+        .withColumns({"_low": low, "_step": step, "_point": low + F.col("punkt") * (high - low) / F.lit(points - 1)})
     )
     centre = lambda c: F.col("_low") + c["cell"] * F.col("_step")
     heights = F.aggregate(
         "_cells",
         F.lit(0.0),
-        lambda total, c: total + c["w"] * F.exp(-0.5 * F.pow((F.col("x") - centre(c)) / F.col("bw"), F.lit(2.0))),
+        lambda total, c: total + c["w"] * F.exp(-0.5 * F.pow((F.col("_point") - centre(c)) / F.col("bw"), F.lit(2.0))),
     )
     density = heights / (F.col("n") * F.col("bw") * F.sqrt(2 * F.pi()))
-    return grid.select(by, F.col("punkt").cast("long").alias("punkt"), F.round("x", 6).alias("x"), F.round(density, 6).alias("tetthet"))
+    return grid.select(by, F.col("punkt").cast("long").alias("punkt"), F.round("_point", 6).alias("x"), F.round(density, 6).alias("tetthet"))
 
 
 def boxplot_stats(df: DataFrame, by: Sequence[str], value: str, whisker: float = 1.5) -> DataFrame:

@@ -19,6 +19,7 @@ from themeloom.functions import digest_number, if_else
 from themeloom.operators.distributions import quantiles_by
 
 SEED = 23319
+ROWS_PER_PARTITION = 20_000
 
 
 def train_test_split(df: DataFrame, id: str = "id", percent: int = 80, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -58,7 +59,7 @@ def explain_outcome(
     """
     used = [*terms, *controls]
     data = df.withColumn("response", if_else(F.col(outcome) == positive, 1.0, 0.0))
-    complete = data.dropna("any", subset=["response", *used])
+    complete = sized(data.dropna("any", subset=["response", *used]))
     missing = data.where(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in ["response", *used]]))
     formula = _formula(complete, "response", used, "_features")
     matrix = formula.transform(complete)
@@ -87,6 +88,11 @@ def _stars(p: float) -> str:
     return "***" if p < 0.01 else "**" if p < 0.05 else "*" if p < 0.1 else ""
 
 
+def sized(df: DataFrame, rows: int = ROWS_PER_PARTITION) -> DataFrame:
+    """Partitions of about `rows` rows for the many short passes of a fit; never more than there are now."""
+    return df.coalesce(df.count() // rows + 1)
+
+
 def _pipeline(features: Sequence[str], *stages) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), *stages])
 
@@ -96,8 +102,10 @@ def fit_classifier(
 ) -> PipelineModel | CrossValidatorModel:
     """Classifier of a 0/1 label.
 
-    kind: logit, rf (trees, mtry, weight), svm (cost), ridge or lasso (folds, grid, id).
+    kind: logit, rf (trees, mtry, weight), svm (cost), ridge or lasso (folds, points, id). Pass a cached
+    table: it is counted first and read once per iteration.
     """
+    train = sized(train)
     if kind == "logit":
         stage = LogisticRegression(labelCol=label, regParam=0.0, maxIter=params.get("max_iter", 100))
         return _pipeline(features, stage).fit(train)

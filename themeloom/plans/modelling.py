@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from themeloom.operators import evaluation, models
 from themeloom.plans import catalog as c
 from themeloom.plans.catalog import query
+from themeloom.sources import cut_lineage
 
 SPLIT = f"('0x' || substr(md5('{models.SEED}|' || id), 1, 8))::BIGINT % 100 < 80"
 CONTROLS = ["org_form", "fylke2"]
@@ -48,7 +49,7 @@ def class_weights(spark, sf):
     ("analysis",),
 )
 def impute_median_mode(spark, sf):
-    data = c.analysis(spark, sf).select("id", "alder", "syss", *CONTROLS)
+    data = cut_lineage(c.analysis(spark, sf).select("id", "alder", "syss", *CONTROLS))
     return models.impute_median_mode(data, ["alder", "syss"], CONTROLS)
 
 
@@ -59,7 +60,7 @@ def _with_label(spark, sf):
 
 @query("design_matrix")
 def design_matrix(spark, sf):
-    data = _with_label(spark, sf).dropna()
+    data = cut_lineage(_with_label(spark, sf).dropna())
     matrix = models.design_matrix(data, "label", [*c.MERGED, *CONTROLS])
     from pyspark.ml.functions import vector_to_array
 
@@ -67,13 +68,14 @@ def design_matrix(spark, sf):
 
 
 def _explained(spark, sf):
-    data = c.analysis(spark, sf).select("id", "utfall", *c.MERGED, *CONTROLS)
+    # Several passes read the table, so it is written once.
+    data = cut_lineage(c.analysis(spark, sf).select("id", "utfall", *c.MERGED, *CONTROLS))
     return models.explain_outcome(data, "utfall", "Innvilget", c.MERGED, CONTROLS)
 
 
 @query("logit_fit")
 def logit_fit(spark, sf):
-    data = c.analysis(spark, sf).select("id", "utfall", *c.MERGED)
+    data = cut_lineage(c.analysis(spark, sf).select("id", "utfall", *c.MERGED))
     return models.explain_outcome(data, "utfall", "Innvilget", c.MERGED, [])[0]
 
 
@@ -89,7 +91,7 @@ def predict_logit(spark, sf):
 
 
 def _split(spark, sf):
-    train, test = models.train_test_split(c.model_table(spark, sf))
+    train, test = models.train_test_split(cut_lineage(c.model_table(spark, sf)))
     return train.persist(), test
 
 
@@ -128,7 +130,7 @@ def cv_curve(spark, sf):
 
 @query("crossfit_predict")
 def crossfit_predict(spark, sf):
-    data = c.model_table(spark, sf).persist()
+    data = cut_lineage(c.model_table(spark, sf))
     out = models.crossfit_predict("rf", data, "label", c.MODEL_THEMES, folds=3, trees=20, mtry=8, depth=6)
     return out.withColumn("score", F.round("score", 6))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -107,9 +108,10 @@ def save_stage(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the folder the cluster names in `spark.checkpoint.dir`.
+    """Write the rows to the folder the cluster names in `spark.checkpoint.dir` and go on from the files.
 
-    The rows are then fixed: every later use reads the same partitions, also after a lost executor.
+    The rows are then fixed: every later use reads the same ones, also after a lost executor, and the
+    optimizer knows their size. Like checkpoints, the files stay until the folder is cleaned.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -120,4 +122,4 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="themeloom-")
         context.setCheckpointDir(folder)
-    return df.checkpoint()
+    return save_stage(df, f"{context.getCheckpointDir()}/{uuid.uuid4().hex}")
