@@ -2,11 +2,13 @@ from themeloom.functions.columns import (
     any_flag,
     blank_to_null,
     digest_number,
+    exact,
     first_match,
     if_else,
     in_set,
     matches_any,
     percent,
+    reaches_mean,
     to_fixed,
     to_number,
     years_between,
@@ -16,11 +18,13 @@ __all__ = [
     "any_flag",
     "blank_to_null",
     "digest_number",
+    "exact",
     "first_match",
     "if_else",
     "in_set",
     "matches_any",
     "percent",
+    "reaches_mean",
     "to_fixed",
     "to_number",
     "years_between",

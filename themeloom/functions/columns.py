@@ -9,8 +9,9 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 FIXED = "decimal(18,6)"
 
@@ -53,6 +54,16 @@ def to_fixed(c: Column | str) -> Column:
     return col(c).cast(FIXED)
 
 
+def exact(df: DataFrame, c: str) -> Column:
+    """The column as a decimal: unchanged if it is one, six digits otherwise."""
+    return F.col(c) if isinstance(df.schema[c].dataType, DecimalType) else to_fixed(c)
+
+
+def reaches_mean(value: Column, total: Column, n: Column) -> Column:
+    """value >= total / n without the division, exact in decimals."""
+    return value * n.cast("decimal(15,0)") >= total
+
+
 def percent(part: Column | str, whole: Column | str) -> Column:
     """part / whole * 100 as double; NULL where the whole is zero."""
     return F.try_divide(col(part).cast("double"), col(whole).cast("double")) * 100

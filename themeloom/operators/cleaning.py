@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.functions import if_else, to_fixed
+from themeloom.functions import exact, if_else, reaches_mean
 from themeloom.operators.distributions import quantiles_by
 from themeloom.operators.joins import attach
 from themeloom.operators.ordering import dense_rank_all
@@ -59,22 +59,20 @@ def binary_outcome(df: DataFrame, col: str, positive: str, negative: str, out: s
 def dichotomise_wide(df: DataFrame, cols: Sequence[str], na_rm: bool = True) -> DataFrame:
     """Each column becomes 1 at or above its own mean and 0 below; NULL stays NULL.
 
-    All means come from one aggregation that returns a single row.
+    All means come from one aggregation; its single row goes into the plan as constants. The table is
+    read twice, so pass a stored one.
     """
     stats = df.agg(
-        F.struct(
-            *[F.sum(to_fixed(c)).alias(f"s_{c}") for c in cols],
-            *[F.count(c).alias(f"n_{c}") for c in cols],
-            F.count(F.lit(1)).alias("_rows"),
-        ).alias("stats")
-    ).scalar()
+        *[F.sum(exact(df, c)).alias(f"s_{c}") for c in cols],
+        *[F.count(c).alias(f"n_{c}") for c in cols],
+        F.count(F.lit(1)).alias("_rows"),
+    ).first()
 
     def flag(c: str) -> Column:
-        n = stats.getField(f"n_{c}")
-        reached = to_fixed(c) * n >= stats.getField(f"s_{c}")
-        if not na_rm:
-            reached = F.when(n == stats.getField("_rows"), reached)
-        return if_else(reached, 1, 0).cast("int")
+        n, total = stats[f"n_{c}"], stats[f"s_{c}"]
+        if total is None or (not na_rm and n < stats["_rows"]):
+            return F.lit(None).cast("int")
+        return if_else(reaches_mean(exact(df, c), F.lit(total), F.lit(n)), 1, 0).cast("int")
 
     return df.select(*[flag(c).alias(c) if c in cols else F.col(c) for c in df.columns])
 

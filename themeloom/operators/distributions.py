@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.functions import to_fixed
+from themeloom.functions import exact
 from themeloom.operators.joins import attach, equi_join
 from themeloom.operators.ordering import running_totals
 from themeloom.sources.scan import cut_lineage
@@ -66,7 +66,7 @@ def ranked_quantiles(counts: DataFrame, by: Sequence[str], value: str, probs: Ma
 def summary_by(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Minimum, quartiles, mean and maximum per group, rounded to nine digits."""
     by = list(by)
-    fixed = df.select(*by, to_fixed(value).alias(value))
+    fixed = df.select(*by, exact(df, value).alias(value))
     basics = fixed.groupBy(*by).agg(
         F.min(value).cast("double").alias("min"),
         (F.sum(value).cast("double") / F.count(value)).alias("mean"),

@@ -34,10 +34,23 @@ def to_wide(
     return df.groupBy(*ids).agg(*[cell(v) for v in values])
 
 
-def vectors_to_long(df: DataFrame, ids: Sequence[str], vector: str, key: str = "tema", value: str = "ladning") -> DataFrame:
-    """Topic shares of a vector or array column as rows named V1, V2, ..."""
+def vectors_to_long(
+    df: DataFrame,
+    ids: Sequence[str],
+    vector: str,
+    key: str = "tema",
+    value: str = "ladning",
+    topics: Sequence[str] | None = None,
+) -> DataFrame:
+    """Topic shares of a vector or array column as rows named V1, V2, ...
+
+    With a list of topics only these become rows, so the others are never spread.
+    """
     kind = df.schema[vector].dataType.typeName()
     array = F.col(vector) if kind == "array" else vector_to_array(vector)
+    if topics is not None:
+        chosen = [F.struct(F.lit(t).alias(key), F.get(array, int(t[1:]) - 1).alias(value)) for t in topics]
+        return df.select(*ids, F.inline(F.array(*chosen)))
     return df.select(*ids, F.posexplode(array).alias("_pos", value)).select(
         *ids, F.concat(F.lit("V"), F.col("_pos") + 1).alias(key), value
     )

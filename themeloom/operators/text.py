@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from themeloom.operators.joins import attach
+from themeloom.sources.scan import cut_lineage
 
 WORD = r"[\p{L}\p{N}]+"
 NUMBER = r"^\p{N}+$"
@@ -70,15 +71,19 @@ def trim_vocabulary(dtm: DataFrame, n_docs: Column, min_prop: float = 0.001, max
 
 
 def tf_idf(dtm: DataFrame, id: str = "id") -> DataFrame:
-    """tf = n / words of the document, idf = ln(documents / documents with the word)."""
-    n_docs = dtm.select(id).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
-    spread = dtm.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    """tf = n / words of the document, idf = ln(documents / documents with the word).
+
+    Counts of colocated words need no further shuffle for tf. The rows are then stored, as document
+    frequencies and the join read them again.
+    """
     # A window partition is one document.
     total = F.sum("n").over(Window.partitionBy(id))
-    shares = dtm.withColumn("tf", F.col("n") / total)
+    shares = cut_lineage(dtm.withColumn("tf", F.col("n") / total))
+    n_docs = shares.select(id).distinct().count()
+    spread = shares.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     return (
         attach(shares, spread, ["word"], "inner")
-        .withColumn("idf", F.log(n_docs / F.col("df")))
+        .withColumn("idf", F.log(F.lit(n_docs) / F.col("df")))
         .select(id, "word", "n", "tf", "idf", (F.col("tf") * F.col("idf")).alias("tf_idf"))
     )
 

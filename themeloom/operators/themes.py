@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.functions import if_else, in_set, percent, to_fixed
+from themeloom.functions import exact, if_else, in_set, percent, reaches_mean
 from themeloom.operators.joins import attach
 
 
@@ -18,10 +18,10 @@ def _with_mean_test(df: DataFrame, key: str, value: str, na_rm: bool) -> DataFra
     the shuffle and the sums go back by a broadcast, so a group with most of the rows costs nothing extra.
     """
     sums = df.groupBy(key).agg(
-        F.sum(to_fixed(value)).alias("_sum"), F.count(value).alias("_n"), F.count(F.lit(1)).alias("_rows")
+        F.sum(exact(df, value)).alias("_sum"), F.count(value).alias("_n"), F.count(F.lit(1)).alias("_rows")
     )
     joined = attach(df, sums, [key], "left", null_safe=[key])
-    reached = to_fixed(value) * F.col("_n") >= F.col("_sum")
+    reached = reaches_mean(exact(df, value), F.col("_sum"), F.col("_n"))
     if not na_rm:
         reached = F.when(F.col("_n") == F.col("_rows"), reached)
     return joined.withColumn("_reached", reached).drop("_sum", "_n", "_rows")
@@ -65,7 +65,7 @@ def merge_themes(
         df.where(in_set(key, list(members)))
         .withColumn(key, merged)
         .groupBy(*ids, key)
-        .agg(F.sum(to_fixed(value)).alias("_sum"), F.count(value).alias("_n"))
+        .agg(F.sum(exact(df, value)).alias("_sum"), F.count(value).alias("_n"))
     )
     divisor = n if require_all else F.col("_n")
     mean = F.when(F.col("_n") == n, F.col("_sum") / divisor) if require_all else F.col("_sum") / divisor
@@ -76,7 +76,7 @@ def merge_columns(df: DataFrame, groups: Mapping[str, Sequence[str]]) -> DataFra
     """The same on a wide table, as a projection: each listed group of columns becomes its mean."""
     members = [m for group in groups.values() for m in group]
     means = [
-        (sum((to_fixed(m) for m in group[1:]), to_fixed(group[0])) / len(group)).cast("decimal(19,7)").alias(name)
+        (sum((exact(df, m) for m in group[1:]), exact(df, group[0])) / len(group)).cast("decimal(19,7)").alias(name)
         for name, group in groups.items()
     ]
     return df.select(*[c for c in df.columns if c not in members], *means)
@@ -84,7 +84,7 @@ def merge_columns(df: DataFrame, groups: Mapping[str, Sequence[str]]) -> DataFra
 
 def group_mean(df: DataFrame, by: Sequence[str], value: str, out: str = "gjennomsnitt") -> DataFrame:
     """Mean per group from an exact decimal sum, rounded to six digits."""
-    mean = F.sum(to_fixed(value)).cast("double") / F.count(value)
+    mean = F.sum(exact(df, value)).cast("double") / F.count(value)
     return df.groupBy(*by).agg(F.round(mean, 6).alias(out))
 
 

@@ -229,9 +229,8 @@ def sweep_topics(
 ) -> DataFrame:
     """Quality measures per number of topics, one row per number and measure.
 
-    `vectors` come from the training part; the models are fitted one after the other on cached vectors.
+    `vectors` come from the training part and are read in every iteration, so pass stored ones.
     """
-    vectors = vectors.persist()
     rows = []
     for k in ks:
         model = fit_topics(vectors, k, seed, max_iter)
@@ -252,7 +251,6 @@ def sweep_topics(
         )
         theta.unpersist()
         beta.unpersist()
-    vectors.unpersist()
     names = ["lower_bound", "residuals", "semantic_coherence", "exclusivity", "heldout_likelihood", "iterations"]
     schema = "k long, " + ", ".join(f"{n} double" for n in names)
     return to_long(vectors.sparkSession.createDataFrame(rows, schema), ["k"], names, "metric", "value")

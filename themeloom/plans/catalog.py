@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from themeloom.functions import blank_to_null, to_fixed
 from themeloom.operators import cleaning, registry, reshape, text, themes
-from themeloom.sources import lookups
+from themeloom.sources import cut_lineage, lookups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,16 +43,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 # ---- Spark stand-ins ----
 
 
-def loadings(spark: SparkSession, sf: str) -> DataFrame:
+def loadings(spark: SparkSession, sf: str, topics: list[str] | None = None) -> DataFrame:
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    long = reshape.vectors_to_long(vectors, ["id"], "embedding")
+    long = reshape.vectors_to_long(vectors, ["id"], "embedding", topics=topics)
     return long.withColumn("ladning", to_fixed(F.round(F.abs(F.col("ladning").cast("double")), 6)))
 
 
 def theme_loadings(spark: SparkSession, sf: str) -> DataFrame:
     """Loadings of the chosen topics under their theme names."""
-    named = cleaning.recode(loadings(spark, sf), "tema", TOPIC_THEMES, "tema")
-    return named.where(F.col("tema").isin(THEMES))
+    return cleaning.recode(loadings(spark, sf, list(TOPIC_THEMES)), "tema", TOPIC_THEMES, "tema")
 
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -144,7 +143,7 @@ def merged_wide(spark: SparkSession, sf: str) -> DataFrame:
 
 def theme_flags(spark: SparkSession, sf: str) -> DataFrame:
     """Wide 0/1 flags per application, correlated themes merged."""
-    return cleaning.dichotomise_wide(merged_wide(spark, sf), MERGED).select("id", *MERGED)
+    return cleaning.dichotomise_wide(cut_lineage(merged_wide(spark, sf)), MERGED).select("id", *MERGED)
 
 
 def analysis(spark: SparkSession, sf: str) -> DataFrame:
@@ -199,7 +198,9 @@ def n_docs(spark: SparkSession, sf: str):
 
 
 def trimmed_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return text.trim_vocabulary(all_counts(spark, sf), n_docs(spark, sf), 0.01, 0.999)
+    """Trimmed matrix; counts and trimmed rows are stored, as several steps read them."""
+    counts = cut_lineage(all_counts(spark, sf))
+    return cut_lineage(text.trim_vocabulary(counts, n_docs(spark, sf), 0.01, 0.999))
 
 
 def given_theta(spark: SparkSession, sf: str) -> DataFrame:
@@ -210,10 +211,11 @@ def given_theta(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def given_beta(spark: SparkSession, sf: str) -> DataFrame:
+def given_beta(spark: SparkSession, sf: str, trimmed: DataFrame | None = None) -> DataFrame:
     """Smoothed word shares per language over the trimmed vocabulary."""
+    trimmed = trimmed_counts(spark, sf) if trimmed is None else trimmed
     lang = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("topic"))
-    counts = trimmed_counts(spark, sf).join(lang, "id").groupBy("topic", "word").agg(F.sum("n").alias("n"))
+    counts = trimmed.join(lang, "id").groupBy("topic", "word").agg(F.sum("n").alias("n"))
     per_topic = [F.sum(F.when(F.col("topic") == t, F.col("n")).otherwise(0)) for t in LANGS]
     words = counts.groupBy("word").agg(F.array(*per_topic).alias("ns"))
     sizes = words.agg(
@@ -228,15 +230,14 @@ def given_beta(spark: SparkSession, sf: str) -> DataFrame:
         )
         for i, t in enumerate(LANGS)
     ]
-    return words.select("word", F.inline(F.array(*rates))).select("topic", "word", "p")
+    return cut_lineage(words.select("word", F.inline(F.array(*rates))).select("topic", "word", "p"))
 
 
 def model_table(spark: SparkSession, sf: str) -> DataFrame:
     """Twenty themes as features, and whether the application is about renewable energy."""
     wanted = [*MODEL_THEMES, "V7"]
-    long = loadings(spark, sf).where(F.col("tema").isin(wanted))
-    wide = reshape.to_wide(long, ["id"], "tema", wanted, "ladning")
-    flagged = cleaning.dichotomise_wide(wide, ["V7"]).withColumnRenamed("V7", "label")
+    wide = reshape.to_wide(loadings(spark, sf, wanted), ["id"], "tema", wanted, "ladning")
+    flagged = cleaning.dichotomise_wide(cut_lineage(wide), ["V7"]).withColumnRenamed("V7", "label")
     return cleaning.map_columns(flagged, MODEL_THEMES, lambda c: c.cast("double")).dropna("any")
 
 

@@ -124,7 +124,8 @@ def high_loading(spark, sf):
     ("loadings",),
 )
 def high_loading_industry_four(spark, sf):
-    named = cleaning.recode(c.loadings(spark, sf), "tema", lookups.INDUSTRY_FOUR, "tema", default="null").dropna()
+    chosen = c.loadings(spark, sf, list(lookups.INDUSTRY_FOUR))
+    named = cleaning.recode(chosen, "tema", lookups.INDUSTRY_FOUR, "tema")
     return themes.count_by(themes.high_loading(named), ["tema"])
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from themeloom.operators import cleaning, text, topics
 from themeloom.plans import catalog as c
 from themeloom.plans.catalog import query
-from themeloom.sources import lookups
+from themeloom.sources import cut_lineage, lookups
 
 # Function words left out in the checked query.
 COMMON = ["the", "a", "an", "that", "this", "it", "in", "at", "with", "of", "el", "la", "le", "les", "un", "une",
@@ -42,7 +42,7 @@ def doc_term_counts(spark, sf):
 
 @query("trim_vocabulary", "SELECT id, word, n FROM trimmed", ("trimmed",))
 def trim_vocabulary(spark, sf):
-    return c.trimmed_counts(spark, sf)
+    return text.trim_vocabulary(cut_lineage(c.all_counts(spark, sf)), c.n_docs(spark, sf), 0.01, 0.999)
 
 
 @query(
@@ -135,8 +135,9 @@ def heldout_split(spark, sf):
     ("rates",),
 )
 def heldout_likelihood(spark, sf):
-    _, held = topics.heldout_split(c.trimmed_counts(spark, sf))
-    return topics.heldout_likelihood(held, c.given_theta(spark, sf), c.given_beta(spark, sf))
+    trimmed = c.trimmed_counts(spark, sf)
+    _, held = topics.heldout_split(trimmed)
+    return topics.heldout_likelihood(held, c.given_theta(spark, sf), c.given_beta(spark, sf, trimmed))
 
 
 COHERENCE = """SELECT topic, round(sum(ln((both_docs + 0.01::DOUBLE) / (high_docs + 0.01::DOUBLE))), 6) AS coherence
@@ -149,8 +150,8 @@ COHERENCE = """SELECT topic, round(sum(ln((both_docs + 0.01::DOUBLE) / (high_doc
 
 @query("semantic_coherence", COHERENCE, ("trimmed", "top10"))
 def semantic_coherence(spark, sf):
-    leading = topics.top_words(c.given_beta(spark, sf), 10)
-    return topics.semantic_coherence(c.trimmed_counts(spark, sf), leading)
+    trimmed = c.trimmed_counts(spark, sf)
+    return topics.semantic_coherence(trimmed, topics.top_words(c.given_beta(spark, sf, trimmed), 10))
 
 
 EXCLUSIVITY = """SELECT f.topic, round(sum(f.frex), 6) AS exclusivity
@@ -168,7 +169,8 @@ def topic_exclusivity(spark, sf):
     ("trimmed", "top10", "frex"),
 )
 def topic_quality(spark, sf):
-    return topics.topic_quality(c.trimmed_counts(spark, sf), c.given_beta(spark, sf))
+    trimmed = c.trimmed_counts(spark, sf)
+    return topics.topic_quality(trimmed, c.given_beta(spark, sf, trimmed))
 
 
 @query(
@@ -217,7 +219,8 @@ def topic_labels(spark, sf):
     ("trimmed", "theta", "beta", "vocabulary"),
 )
 def residual_dispersion(spark, sf):
-    return topics.residual_dispersion(c.trimmed_counts(spark, sf), c.given_theta(spark, sf), c.given_beta(spark, sf))
+    trimmed = c.trimmed_counts(spark, sf)
+    return topics.residual_dispersion(trimmed, c.given_theta(spark, sf), c.given_beta(spark, sf, trimmed))
 
 
 @query(
@@ -236,7 +239,8 @@ def topic_prevalence(spark, sf):
 
 def _fitted(spark, sf, k=5, max_iter=10):
     words = [w for w, _ in _vocabulary(spark, sf)]
-    vectors = text.doc_vectors(c.texts(spark, sf), "id", "text", words)
+    # Every iteration of the fit reads the vectors.
+    vectors = cut_lineage(text.doc_vectors(c.texts(spark, sf), "id", "text", words))
     return topics.fit_topics(vectors, k, max_iter=max_iter), vectors, words
 
 
@@ -254,7 +258,8 @@ def topic_fit_labels(spark, sf):
 
 @query("topic_k_metrics")
 def topic_k_metrics(spark, sf):
-    words = [w for w, _ in _vocabulary(spark, sf)]
-    train, held = topics.heldout_split(c.trimmed_counts(spark, sf))
-    vectors = text.count_vectors(train, words)
+    trimmed = c.trimmed_counts(spark, sf)
+    words = [w for (w,) in text.term_list(trimmed.select("word").distinct())]
+    train, held = topics.heldout_split(trimmed)
+    vectors = cut_lineage(text.count_vectors(train, words))
     return topics.sweep_topics(vectors, train, held, words, ks=(4, 8), max_iter=10)
