@@ -178,7 +178,7 @@ def test_topics_are_found(spark):
     docs = [(i, " ".join(rng.choice(groups[i % 2], size=30))) for i in range(120)]
     df = spark.createDataFrame(docs, "id int, text string")
     words = sorted(w for g in groups for w in g)
-    vectors = text.doc_vectors(df, "id", "text", words)
+    vectors = text.doc_vectors(text.split_words(df, "id", "text"), words)
     model = topics.fit_topics(vectors, 2, max_iter=30, optimizer="em")
     beta = topics.model_beta(model, words)
     leading = topics.top_words(beta, 4)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from decimal import Decimal
 
@@ -27,8 +28,10 @@ def words_of(text: Column | str, drop_urls: bool = False) -> Column:
     return F.regexp_extract_all(F.lower(source), F.lit(WORD), F.lit(0))
 
 
-def tokenize(df: DataFrame, id: str, text: str, colocate: bool = False, drop_urls: bool = False) -> DataFrame:
-    """One row per word.
+def split_words(
+    df: DataFrame, id: str, text: str, colocate: bool = False, drop_urls: bool = False
+) -> DataFrame:
+    """Rows (id, words): each text as the array of its words.
 
     With colocate, each text is moved once to the partition of its id; later groupings and windows
     that include the id then need no shuffle of the words.
@@ -36,7 +39,16 @@ def tokenize(df: DataFrame, id: str, text: str, colocate: bool = False, drop_url
     docs = df.select(id, text)
     if colocate:
         docs = docs.repartition(id)
-    return docs.select(id, F.explode(words_of(text, drop_urls)).alias("word"))
+    return docs.select(id, words_of(text, drop_urls).alias("words"))
+
+
+def explode_words(split: DataFrame, id: str = "id") -> DataFrame:
+    return split.select(id, F.explode("words").alias("word"))
+
+
+def tokenize(df: DataFrame, id: str, text: str, colocate: bool = False, drop_urls: bool = False) -> DataFrame:
+    """One row per word."""
+    return explode_words(split_words(df, id, text, colocate, drop_urls), id)
 
 
 def is_term(word: Column, stopwords: Sequence[str], drop_numbers: bool) -> Column:
@@ -96,20 +108,20 @@ def term_list(terms: DataFrame, max_terms: int = MAX_TERMS) -> list[tuple]:
     return sorted(tuple(r) for r in rows)
 
 
-def doc_vectors(
-    df: DataFrame,
-    id: str,
-    text: str,
-    words: Sequence[str],
-    out: str = "features",
-) -> DataFrame:
+def doc_vectors(split: DataFrame, vocabulary: Sequence[str], id: str = "id", out: str = "features") -> DataFrame:
     """Sparse count vectors over a given vocabulary, with the number of words of the text.
 
-    Texts without any vocabulary word are left out. Each text becomes one row without a shuffle.
+    Takes the rows of split_words; there is no shuffle. Store the result before `drop_empty`, or the
+    vectors are made twice.
     """
-    arrays = df.select(id, words_of(text).alias("_words")).withColumn("n_words", F.size("_words").cast("long"))
-    model = CountVectorizerModel.from_vocabulary(list(words), inputCol="_words", outputCol=out)
-    return model.transform(arrays).drop("_words").where(F.size(F.unwrap_udt(out)["indices"]) > 0)
+    arrays = split.select(id, "words", F.size("words").cast("long").alias("n_words"))
+    model = CountVectorizerModel.from_vocabulary(list(vocabulary), inputCol="words", outputCol=out)
+    return model.transform(arrays).drop("words")
+
+
+def drop_empty(vectors: DataFrame, features: str = "features") -> DataFrame:
+    """Leave out texts without any vocabulary word."""
+    return vectors.where(F.size(F.unwrap_udt(features)["indices"]) > 0)
 
 
 def count_vectors(dtm: DataFrame, words: Sequence[str], id: str = "id", out: str = "features") -> DataFrame:
@@ -122,12 +134,10 @@ def count_vectors(dtm: DataFrame, words: Sequence[str], id: str = "id", out: str
 
 
 def tfidf_vectors(
-    df: DataFrame, id: str, text: str, terms: Sequence[tuple[str, int]], n_docs: int, out: str = "features"
+    split: DataFrame, terms: Sequence[tuple[str, int]], n_docs: int, id: str = "id", out: str = "features"
 ) -> DataFrame:
     """Sparse tf-idf vectors from a vocabulary with document frequencies."""
-    import math
-
-    counts = doc_vectors(df, id, text, [w for w, _ in terms], "_counts")
+    counts = doc_vectors(split, [w for w, _ in terms], id, "_counts")
     idf = Vectors.dense([math.log(n_docs / spread) for _, spread in terms])
     shares = counts.withColumn("_share", 1 / F.col("n_words"))
     tf = Interaction(inputCols=["_share", "_counts"], outputCol="_tf").transform(shares)

@@ -188,6 +188,11 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stored_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Word arrays, written once where both counts and vectors are made of them."""
+    return cut_lineage(text.split_words(texts(spark, sf), "id", "text", colocate=True))
+
+
 def all_counts(spark: SparkSession, sf: str) -> DataFrame:
     words = text.tokenize(texts(spark, sf), "id", "text", colocate=True)
     return text.doc_term_counts(words, drop_numbers=False)

@@ -73,8 +73,9 @@ def reorder_terms(spark, sf):
     return cleaning.reorder_levels(weights, "word", "tf_idf")
 
 
-def _vocabulary(spark, sf):
-    return text.term_list(text.vocabulary(c.all_counts(spark, sf), c.n_docs(spark, sf), 0.01, 0.999))
+def _vocabulary(spark, sf, split):
+    counts = text.doc_term_counts(text.explode_words(split), drop_numbers=False)
+    return text.term_list(text.vocabulary(counts, c.n_docs(spark, sf), 0.01, 0.999))
 
 
 @query(
@@ -86,8 +87,9 @@ def _vocabulary(spark, sf):
     ("trimmed", "counts"),
 )
 def doc_vectors(spark, sf):
-    words = [w for w, _ in _vocabulary(spark, sf)]
-    vectors = text.doc_vectors(c.texts(spark, sf), "id", "text", words)
+    split = c.stored_words(spark, sf)
+    words = [w for w, _ in _vocabulary(spark, sf, split)]
+    vectors = text.drop_empty(cut_lineage(text.doc_vectors(split, words)))
     parts = F.unwrap_udt("features")
     total = F.aggregate(parts["values"], F.lit(0.0), lambda a, x: a + x)
     return vectors.select("id", "n_words", F.size(parts["indices"]).cast("long").alias("ulike"), total.alias("antall"))
@@ -103,9 +105,10 @@ def doc_vectors(spark, sf):
     ("trimmed", "vocabulary", "counts"),
 )
 def tfidf_vectors(spark, sf):
-    terms = _vocabulary(spark, sf)
-    docs = c.table(spark, sf, "documents").count()
-    vectors = text.tfidf_vectors(c.texts(spark, sf), "id", "text", terms, docs)
+    split = c.stored_words(spark, sf)
+    terms = _vocabulary(spark, sf, split)
+    vectors = cut_lineage(text.tfidf_vectors(split, terms, c.table(spark, sf, "documents").count()))
+    vectors = text.drop_empty(vectors)
     parts = F.unwrap_udt("features")
     total = F.aggregate(parts["values"], F.lit(0.0), lambda a, x: a + x)
     return vectors.select("id", F.size(parts["indices"]).cast("long").alias("ulike"), F.round(total, 6).alias("tf_idf"))
@@ -238,9 +241,10 @@ def topic_prevalence(spark, sf):
 
 
 def _fitted(spark, sf, k=5, max_iter=10):
-    words = [w for w, _ in _vocabulary(spark, sf)]
+    split = c.stored_words(spark, sf)
+    words = [w for w, _ in _vocabulary(spark, sf, split)]
     # Every iteration of the fit reads the vectors.
-    vectors = cut_lineage(text.doc_vectors(c.texts(spark, sf), "id", "text", words))
+    vectors = text.drop_empty(cut_lineage(text.doc_vectors(split, words)))
     return topics.fit_topics(vectors, k, max_iter=max_iter), vectors, words
 
 
@@ -261,5 +265,5 @@ def topic_k_metrics(spark, sf):
     trimmed = c.trimmed_counts(spark, sf)
     words = [w for (w,) in text.term_list(trimmed.select("word").distinct())]
     train, held = topics.heldout_split(trimmed)
-    vectors = cut_lineage(text.count_vectors(train, words))
+    vectors = text.drop_empty(cut_lineage(text.count_vectors(train, words)))
     return topics.sweep_topics(vectors, train, held, words, ks=(4, 8), max_iter=10)
