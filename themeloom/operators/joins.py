@@ -43,15 +43,16 @@ def salted_join(
     how: str = "left",
     null_safe: Sequence[str] = (),
     hot_rows: int = HOT_ROWS,
+    key_counts: DataFrame | None = None,
 ) -> DataFrame:
     """Shuffle join that splits the keys with many left rows into chunks of about hot_rows.
 
     The right rows of such a key go to each of its chunks, so every left row still meets all its
     partners exactly once. Without such keys it is a plain join. `how` is left, inner, left_semi or
-    left_anti.
+    left_anti. key_counts, if known, holds the keys and their `_rows` on the left.
     """
     on = list(on)
-    hot = hot_keys(left, on, hot_rows)
+    hot = hot_keys(left, on, hot_rows, key_counts)
     if hot is None:
         return equi_join(left, right, on, how, null_safe)
     chunks = F.coalesce(F.col("_chunks"), F.lit(1))
@@ -62,15 +63,17 @@ def salted_join(
     return equi_join(salted_left, salted_right, [*on, "_salt"], how, null_safe).drop("_salt")
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+def hot_keys(
+    df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS, key_counts: DataFrame | None = None
+) -> DataFrame | None:
     """The keys with at least hot_rows rows and the number of chunks for each; None if there are none.
 
     Keys are counted before the shuffle and at most HOT_KEYS of them reach the driver.
     """
+    if key_counts is None:
+        key_counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
     top = (
-        df.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") >= hot_rows)
+        key_counts.where(F.col("_rows") >= hot_rows)
         .orderBy(F.desc("_rows"))
         .limit(HOT_KEYS)
         .select(*on, F.ceil(F.col("_rows") / hot_rows).cast("long").alias("_chunks"))
@@ -86,11 +89,12 @@ def attach(
     how: str = "left",
     null_safe: Sequence[str] = (),
     max_rows: int = SMALL_ROWS,
+    key_counts: DataFrame | None = None,
 ) -> DataFrame:
     """Join a table expected to be small: broadcast within the size bound, salted shuffle join beyond it."""
     local = settled(small, max_rows)
     if local is None:
-        return salted_join(df, small, on, how, null_safe)
+        return salted_join(df, small, on, how, null_safe, key_counts=key_counts)
     return equi_join(df, F.broadcast(local), on, how, null_safe)
 
 

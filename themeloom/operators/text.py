@@ -92,9 +92,9 @@ def tf_idf(dtm: DataFrame, id: str = "id") -> DataFrame:
     total = F.sum("n").over(Window.partitionBy(id))
     shares = cut_lineage(dtm.withColumn("tf", F.col("n") / total))
     n_docs = shares.select(id).distinct().count()
-    spread = shares.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    spread = cut_lineage(shares.groupBy("word").agg(F.count(F.lit(1)).alias("df")))
     return (
-        attach(shares, spread, ["word"], "inner")
+        attach(shares, spread, ["word"], "inner", key_counts=spread.withColumnRenamed("df", "_rows"))
         .withColumn("idf", F.log(F.lit(n_docs) / F.col("df")))
         .select(id, "word", "n", "tf", "idf", (F.col("tf") * F.col("idf")).alias("tf_idf"))
     )

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from themeloom.operators import crosstab, distributions, factors, network, themes
+from themeloom.operators import cleaning, crosstab, distributions, factors, network, themes
 from themeloom.plans import catalog as c
 from themeloom.plans.catalog import query
+from themeloom.sources import lookups
 
 # ---- counts and shares ----
 
@@ -176,6 +177,26 @@ def grant_rate_overall(spark, sf):
     return crosstab.grant_rate(c.analysis_long(spark, sf), "utfall", "Innvilget", by=[])
 
 
+@query(
+    "industry_four_share",
+    f"""SELECT tema, {SHARE} FROM (
+          SELECT tema, CASE WHEN ladning * count(*) OVER (PARTITION BY tema) >= sum(ladning) OVER (PARTITION BY tema)
+                         THEN 1 ELSE 0 END AS flag
+          FROM (SELECT id, label AS tema, CAST(sum(ladning) * CAST(if(count(*) = 2, 0.5, 1.0) AS DECIMAL(2,1)) AS DECIMAL(19,7)) AS ladning
+                FROM loadings JOIN (VALUES ('V25', 'kunstigintelligens'), ('V5', 'kunstigintelligens'),
+                  ('V57', 'digitaleplattformer'), ('V41', 'digitaleplattformer'), ('V38', 'fysiskegjenstander'),
+                  ('V34', 'fysiskegjenstander'), ('V39', 'biologisk'), ('V33', 'data'), ('V45', 'robotisering'))
+                  AS m(code, label) ON tema = code
+                GROUP BY id, label)) GROUP BY tema""",
+    ("loadings",),
+)
+def industry_four_share(spark, sf):
+    chosen = c.loadings(spark, sf, list(lookups.INDUSTRY_FOUR))
+    named = cleaning.recode(chosen, "tema", lookups.INDUSTRY_FOUR, "tema")
+    merged = themes.merge_themes(named, lookups.INDUSTRY_FOUR_MERGED)
+    return crosstab.crosstab_share(themes.dichotomise_mean(merged), ["tema"])
+
+
 @query(
     "theme_share_of_granted",
     f"SELECT tema, {SHARE} FROM analysis_long WHERE utfall = 'Innvilget' GROUP BY tema",

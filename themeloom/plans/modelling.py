@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 
@@ -14,6 +14,7 @@ from themeloom.sources import cut_lineage
 
 SPLIT = f"('0x' || substr(md5('{models.SEED}|' || id), 1, 8))::BIGINT % 100 < 80"
 CONTROLS = ["org_form", "fylke2"]
+FOREST = {"trees": 50, "mtry": 8, "depth": 8}
 
 
 @query("train_test_split", f"SELECT id, CASE WHEN {SPLIT} THEN 'trening' ELSE 'test' END AS del FROM apps", ("apps",))
@@ -58,13 +59,67 @@ def _with_label(spark, sf):
     return data.withColumn("label", F.when(F.col("utfall") == "Innvilget", 1).when(F.col("utfall").isNotNull(), 0))
 
 
-@query("design_matrix")
+KNOWN = f"SELECT * FROM analysis WHERE {' AND '.join(f'{x} IS NOT NULL' for x in ['utfall', *CONTROLS, *c.MERGED])}"
+
+
+@query(
+    "design_matrix",
+    f"""SELECT id, CASE WHEN utfall = 'Innvilget' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label,
+          (SELECT {len(c.MERGED)} + count(DISTINCT org_form) + count(DISTINCT fylke2) - 2 FROM ({KNOWN})) AS kolonner,
+          CAST({' + '.join(c.MERGED)} + CASE WHEN org_form > min(org_form) OVER () THEN 1 ELSE 0 END
+            + CASE WHEN fylke2 > min(fylke2) OVER () THEN 1 ELSE 0 END AS DOUBLE) AS sum
+        FROM ({KNOWN})""",
+    ("analysis",),
+)
 def design_matrix(spark, sf):
     data = cut_lineage(_with_label(spark, sf).dropna())
     matrix = models.design_matrix(data, "label", [*c.MERGED, *CONTROLS])
-    from pyspark.ml.functions import vector_to_array
+    values = vector_to_array("features")
+    return matrix.select(
+        "id",
+        F.col("_label").alias("label"),
+        F.size(values).cast("long").alias("kolonner"),
+        F.aggregate(values, F.lit(0.0), lambda a, x: a + x).alias("sum"),
+    )
+
+
+FIRM = ["nace2", "org_form", "fylke2"]
+OUTCOME_FEATURES = [*c.MERGED, "syss", "alder", *[f"{x}_ix" for x in FIRM]]
 
-    return matrix.select("id", vector_to_array("features").alias("features"), F.col("_label").alias("label"))
+
+def _outcome_table(spark, sf):
+    """Known outcomes with imputed firm attributes, indexed categories and balancing weights."""
+    data = c.analysis(spark, sf).select("id", "utfall", *c.MERGED, "syss", "alder", *FIRM)
+    label = F.when(F.col("utfall") == "Innvilget", 1).otherwise(0)
+    known = cut_lineage(data.where(F.col("utfall").isNotNull()).withColumn("label", label))
+    filled = models.impute_median_mode(known, ["syss", "alder"], FIRM)
+    return models.with_class_weight(models.index_categories(filled, FIRM), "label")
+
+
+@query("outcome_forest_importance")
+def outcome_forest_importance(spark, sf):
+    data = _outcome_table(spark, sf)
+    model = models.fit_classifier("rf", data, "label", OUTCOME_FEATURES, weight="vekt", **FOREST)
+    return models.rf_importance(model, OUTCOME_FEATURES, data)
+
+
+@query("outcome_forest_confusion")
+def outcome_forest_confusion(spark, sf):
+    data = _outcome_table(spark, sf)
+    scored = models.crossfit_predict("rf", data, "label", OUTCOME_FEATURES, folds=3, weight="vekt", **FOREST)
+    classed = scored.withColumn("klasse", models.threshold_class("score", 0.5))
+    return evaluation.confusion_stats(evaluation.confusion(classed, "klasse", "label"), "klasse", "label")
+
+
+@query("outcome_partial_dependence")
+def outcome_partial_dependence(spark, sf):
+    """Dependence of the outcome on the legal form, one row per form."""
+    data = _outcome_table(spark, sf)
+    model = models.fit_classifier("rf", data, "label", OUTCOME_FEATURES, weight="vekt", **FOREST)
+    levels = data.select(F.col("org_form_ix").alias("x"), "org_form").distinct()
+    grid = [r.x for r in levels.limit(52).collect()]
+    curve = models.partial_dependence(model, data, "org_form_ix", grid, OUTCOME_FEATURES)
+    return curve.join(levels, "x").select("org_form", F.round("y", 6).alias("y"))
 
 
 def _explained(spark, sf):
@@ -109,8 +164,6 @@ _classifier("clf_svm", "svm", cost=10, max_iter=50)
 _classifier("clf_ridge", "ridge", points=6, folds=5)
 _classifier("clf_lasso", "lasso", points=6, folds=5)
 
-FOREST = {"trees": 50, "mtry": 8, "depth": 8}
-
 
 @query("clf_rf")
 def clf_rf(spark, sf):

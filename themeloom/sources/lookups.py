@@ -30,6 +30,13 @@ INDUSTRY_FOUR = {
     "V45": "robotisering",
 }
 
+# Themes of that kind that are averaged into one.
+INDUSTRY_FOUR_MERGED = {
+    "kunstigintelligens": ["kunstigintelligens", "datascience"],
+    "digitaleplattformer": ["digitaleplattformer", "delingsokonomi"],
+    "fysiskegjenstander": ["droner", "bildegjenkjenning"],
+}
+
 # Display labels.
 THEME_LABELS = {
     "fornybar": "Fornybar energi",
