@@ -28,18 +28,21 @@ def words_of(text: Column | str, drop_urls: bool = False) -> Column:
     return F.regexp_extract_all(F.lower(source), F.lit(WORD), F.lit(0))
 
 
+def _docs(df: DataFrame, id: str, text: str, colocate: bool) -> DataFrame:
+    docs = df.select(id, text)
+    return docs.repartition(id) if colocate else docs
+
+
 def split_words(
     df: DataFrame, id: str, text: str, colocate: bool = False, drop_urls: bool = False
 ) -> DataFrame:
     """Rows (id, words): each text as the array of its words.
 
     With colocate, each text is moved once to the partition of its id; later groupings and windows
-    that include the id then need no shuffle of the words.
+    that include the id then need no shuffle of the words. Store the rows before exploding them, or the
+    optimizer's test for empty arrays splits the texts a second time.
     """
-    docs = df.select(id, text)
-    if colocate:
-        docs = docs.repartition(id)
-    return docs.select(id, words_of(text, drop_urls).alias("words"))
+    return _docs(df, id, text, colocate).select(id, words_of(text, drop_urls).alias("words"))
 
 
 def explode_words(split: DataFrame, id: str = "id") -> DataFrame:
@@ -48,7 +51,7 @@ def explode_words(split: DataFrame, id: str = "id") -> DataFrame:
 
 def tokenize(df: DataFrame, id: str, text: str, colocate: bool = False, drop_urls: bool = False) -> DataFrame:
     """One row per word."""
-    return explode_words(split_words(df, id, text, colocate, drop_urls), id)
+    return _docs(df, id, text, colocate).select(id, F.explode(words_of(text, drop_urls)).alias("word"))
 
 
 def is_term(word: Column, stopwords: Sequence[str], drop_numbers: bool) -> Column:
