@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -107,19 +109,28 @@ def save_stage(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the folder the cluster names in `spark.checkpoint.dir` and go on from the files.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for stored stages: the one the cluster names in `spark.checkpoint.dir`.
 
-    The rows are then fixed: every later use reads the same ones, also after a lost executor, and the
-    optimizer knows their size. Like checkpoints, the files stay until the folder is cleaned.
+    Where that is unset, a local session gets a folder of its own that goes when Python ends, and a
+    cluster stops: its executors share no local folder.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="themeloom-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
-    return save_stage(df, f"{context.getCheckpointDir()}/{uuid.uuid4().hex}")
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write the rows to the shared folder and go on from the files.
+
+    The rows are then fixed: every later use reads the same ones, also after a lost executor, and the
+    optimizer knows their size. Like checkpoints, the files stay until the folder is cleaned.
+    """
+    return save_stage(df, f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}")
