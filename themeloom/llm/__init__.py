@@ -1,6 +1,6 @@
 """Operations for preparing training data. Nothing outside this subpackage imports it."""
 
-from themeloom.llm import token_counts, warc  # noqa: F401
+from themeloom.llm import mixing, packing, pii, token_counts, toxicity, warc  # noqa: F401
 from themeloom.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
