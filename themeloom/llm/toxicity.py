@@ -24,7 +24,7 @@ from themeloom.llm.common import free_name, query, table
 BUCKETS = 1 << 18
 DIM = 8
 GRAMS = (3, 4, 5, 6)
-WINDOW = 8
+WINDOW = 2
 MAX_TOXIC = 2_500  # labelled rows to learn from, at most
 MAX_CLEAN = 5_000
 MAX_CHARS = 20_000  # longer texts are not learned from (all are scored, whole)
