@@ -244,7 +244,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text", out: str =
 
     Every row stays, repeated ones too; a null text stays null and an empty one empty, with 0 replaced.
     All other columns stay; one called like `out` stays too, and the new one gets underscores before it.
-    Texts keep their length. Each text is one pass of a pattern without nested repetition.
+    All formats but addresses keep their length. The pattern has no nested repetition, so long texts are read once.
     """
     source = F.col(f"`{text}`")
     found = F.regexp_extract_all(source, F.lit(ANY), F.lit(0))
