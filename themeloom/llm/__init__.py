@@ -1,6 +1,17 @@
 """Operations for preparing training data. Nothing outside this subpackage imports it."""
 
-from themeloom.llm import mixing, packing, pii, token_counts, toxicity, warc  # noqa: F401
+from themeloom.llm import (  # noqa: F401
+    ann,
+    mixing,
+    ngram_join,
+    packing,
+    pii,
+    quality,
+    token_counts,
+    topk,
+    toxicity,
+    warc,
+)
 from themeloom.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -76,13 +76,14 @@ def ranked_sources(sources: DataFrame, stages: Stages, weights: tuple[float, ...
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: float, dp_budget: int = DP_BUDGET) -> np.ndarray:
     """How many documents of each length add up to as near the budget as they can.
 
-    Lengths are positive and different. Equal shares first, then the largest that fit until at most
-    dp_budget words are left, then dynamic programming on what is left of each length. Where a larger
-    length in place of the last step comes nearer (the sum may end above the budget), that is taken.
+    Lengths are positive and different. Equal shares of all but dp_budget words first, then the largest
+    that fit until at most dp_budget words are left, then dynamic programming on what is left of each
+    length. The sum may end above the budget where that is nearer.
     """
     total = int((lengths * counts).sum())
     budget = min(max(budget, 0.0), float(total))
-    taken = np.floor(counts * (budget / total)).astype(np.int64) if total else np.zeros_like(counts)
+    share = max(0.0, budget - dp_budget) / total if total else 0.0
+    taken = np.floor(counts * share).astype(np.int64)
     left = int(round(budget)) - int((lengths * taken).sum())
     order = np.argsort(-lengths)
     for i in order:

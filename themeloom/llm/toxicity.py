@@ -235,16 +235,19 @@ def train(
     return fit(rows.column("text").to_pylist(), rows.column("toxic").to_pylist(), (totals[0] / n, totals[1] / n))
 
 
-def score(docs: DataFrame, model: ToxicityModel, text: str = "text", out: str = "score") -> DataFrame:
-    """All columns but the text, and the probability that the whole text is toxic; no shuffle.
+def score(
+    docs: DataFrame, model: ToxicityModel, text: str = "text", out: str = "score", keep_text: bool = False
+) -> DataFrame:
+    """All columns (the text only with keep_text) and the probability that the whole text is toxic; no shuffle.
 
     Null, empty and wordless texts get the score of the bias alone. Every row stays; a column called like
     `out` stays and the new one gets underscores before it.
     """
-    kept = [c for c in docs.columns if c != text]
+    kept = [c for c in docs.columns if keep_text or c != text]
     out = free_name(kept, out)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one number for each of a fixed number of buckets
-    schema = docs.drop(text).withColumn(out, F.lit(0.0)).schema
+    columns = [F.col(f"`{c}`") for c in kept]
+    schema = docs.select(*columns, F.lit(0.0).alias(out)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -260,7 +263,7 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", out: str =
                 scores = pa.array(known.probability(np.array(logits)), pa.float64())
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], [*kept, out])
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`")).mapInArrow(run, schema)
+    return docs.select(*columns, F.col(f"`{text}`").alias("scored_text")).mapInArrow(run, schema)
 
 
 @query("op9_toxicity")
