@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,10 @@ from themeloom.llm.components import components
 
 WORDS_IN_GRAM = 5
 THRESHOLD = 0.8
-TREES = 24
-DEPTHS = (7, 6, 5)
+TREES = 18
+DEPTHS = (6, 4)
 TARGET = 0.9999
-BLOCK = 256
+BLOCK = 512
 FILTER_BITS = 22
 SEED = 3
 CACHED_WORDS = 400_000
@@ -106,29 +107,28 @@ def prefixes(values: np.ndarray, trees: int, depths: tuple[int, ...]) -> list[np
 
 def _signed(docs_columns: int, n: int, trees: int, depths: tuple[int, ...], seed: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = signature_functions(trees * max(depths), seed)
+        # Only the values that the shortest prefixes need.
+        a, b = (f.reshape(trees, -1)[:, : depths[-1]].ravel() for f in signature_functions(trees * max(depths), seed))
         for whole in batches:
             for batch in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
-                low, high, hashes = [], [], [[] for _ in depths]
+                low, high, leaves = [], [], []
                 for text in batch.column(docs_columns).to_pylist():
                     members = grams(text or "", n)
                     if not len(members):
                         low.append(None)
                         high.append(None)
-                        for h in hashes:
-                            h.append(None)
+                        leaves.append(None)
                         continue
                     whole_set = xxhash.xxh3_128_intdigest(members.tobytes())
                     low.append((whole_set & (2**64 - 1)) - 2**63)
                     high.append((whole_set >> 64) - 2**63)
-                    for h, p in zip(hashes, prefixes(signature(members, a, b), trees, depths), strict=True):
-                        h.append(p)
+                    leaves.append(prefixes(signature(members, a, b), trees, depths[-1:])[0])
                 yield pa.RecordBatch.from_arrays(
                     [
                         *batch.columns[:docs_columns],
                         pa.array(low, pa.int64()),
                         pa.array(high, pa.int64()),
-                        *[pa.array(h, pa.list_(pa.int64())) for h in hashes],
+                        pa.array(leaves, pa.list_(pa.int64())),
                     ],
                     names,
                 )
@@ -136,16 +136,24 @@ def _signed(docs_columns: int, n: int, trees: int, depths: tuple[int, ...], seed
     return run
 
 
-def _sets(bitmap, n: int):
+def _sets(bitmap, n: int, trees: int, depths: tuple[int, ...], seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, size = bitmap.value
+        a, b = signature_functions(trees * max(depths), seed)
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            place = keys & (size - 1)
+            place = batch.column(0).to_numpy() & (size - 1)
             wanted = np.flatnonzero(bits[place >> 3] >> (place & 7) & 1)
             some = batch.take(pa.array(wanted))
-            members = [grams(t or "", n).tobytes() for t in some.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(members, pa.binary())], ["content", "members"])
+            members = [grams(t or "", n) for t in some.column(1).to_pylist()]
+            levels = [[p.tolist() for p in prefixes(signature(m, a, b), trees, depths)] for m in members]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    some.column(0),
+                    pa.array([m.tobytes() for m in members], pa.binary()),
+                    pa.array(levels, pa.list_(pa.list_(pa.int64()))),
+                ],
+                ["content", "members", "prefixes"],
+            )
 
     return run
 
@@ -248,25 +256,30 @@ def _compared(level: int, threshold: float, trees: int, depths: tuple[int, ...])
     return run
 
 
-def cells_of(matches: DataFrame, level: int, block: int) -> DataFrame:
-    """(cell, tree, crossed, side, rep): the nodes of a level in cells of at most two blocks.
+def cells_of(matches: DataFrame, levels: int, block: int) -> DataFrame:
+    """(cell, level, tree, crossed, side, rep): the nodes of all levels in cells of at most two blocks.
 
     A node whose classes all share a longer prefix was compared there. Cells with the same classes, as
-    near copies are together in most trees, become one, that of the first tree.
+    near copies are together in most trees, become one, that of the longest prefix and first tree.
     """
-    deeper = F.col("prefixes")[level - 1] if level else F.monotonically_increasing_id()
-    node = matches.select("tree", F.col("prefixes")[level].alias("hash"), deeper.alias("deeper"), "rep")
-    counts = node.groupBy("tree", "hash").agg(F.count(F.lit(1)).alias("n"), F.min("deeper").alias("x"), F.max("deeper").alias("y"))
-    counts = counts.where("n > 1 AND x <> y").select("tree", "hash", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    placed = node.drop("deeper").join(counts, ["tree", "hash"])
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    spread = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    side = F.struct("rep", F.when(F.col("own") == F.col("i"), 0).otherwise(1).alias("side"))
-    cell = spread.groupBy("tree", "hash", "blocks", "i", "j").agg(F.sort_array(F.collect_list(side)).alias("held"))
-    once = cell.where(F.size("held") > 1).groupBy("held", (F.col("i") != F.col("j")).alias("crossed")).agg(F.min("tree").alias("tree"))
+    every = []
+    for level in range(levels):
+        deeper = F.col("prefixes")[level - 1] if level else F.monotonically_increasing_id()
+        node = matches.select("tree", F.col("prefixes")[level].alias("hash"), deeper.alias("deeper"), "rep")
+        counts = node.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("deeper").alias("x"), F.max("deeper").alias("y"))
+        counts = counts.where("n > 1 AND x <> y").select("hash", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+        placed = node.drop("deeper").join(counts, "hash")
+        own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+        spread = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        spread = spread.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+        side = F.struct("rep", F.when(F.col("own") == F.col("i"), 0).otherwise(1).alias("side"))
+        cell = spread.groupBy("tree", "hash", "i", "j").agg(F.sort_array(F.collect_list(side)).alias("held"))
+        at = F.struct(F.lit(level).alias("level"), "tree").alias("at")
+        every.append(cell.where(F.size("held") > 1).select("held", (F.col("i") != F.col("j")).alias("crossed"), at))
+    once = reduce(DataFrame.union, every).groupBy("held", "crossed").agg(F.min("at").alias("at"))
     numbered = once.withColumn("cell", F.monotonically_increasing_id())
-    return numbered.select("cell", "tree", "crossed", F.explode("held").alias("h")).select("cell", "tree", "crossed", "h.side", "h.rep")
+    numbered = numbered.select("cell", "at.level", "at.tree", "crossed", F.explode("held").alias("h"))
+    return numbered.select("cell", "level", "tree", "crossed", "h.side", "h.rep")
 
 
 def near_duplicates(
@@ -302,11 +315,11 @@ def near_duplicates(
     stages = Stages(spark)
     content = F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
     slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), content.alias("content"), F.col(f"`{text}`").alias("text"))
-    names = [f"p{d}" for d in depths]
     head = slim.drop("text")
+    longs = T.ArrayType(T.LongType())
     hashes = [T.StructField(c, T.LongType()) for c in ("low", "high")]
-    schema = T.StructType([*head.schema, *hashes, *[T.StructField(c, T.ArrayType(T.LongType())) for c in names]])
-    signed = slim.mapInArrow(_signed(2, n, trees, depths, seed, [f.name for f in schema]), schema)
+    schema = T.StructType([*head.schema, *hashes, T.StructField("leaves", longs)])
+    signed = slim.mapInArrow(_signed(2, n, trees, depths, seed, schema.fieldNames()), schema)
     forest = stages.keep(signed.withColumn("row", F.monotonically_increasing_id()))
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "row")  # nulls last
     classes = forest.where("low IS NOT NULL").groupBy("low", "high").agg(
@@ -314,39 +327,41 @@ def near_duplicates(
         F.min_by("content", "row").alias("content"),
         F.count(F.lit(1)).alias("copies"),
         F.min_by(F.struct("doc_id", "row"), first).alias("least"),
-        F.min_by(F.array(*names), "row").alias("prefixes"),
+        F.min_by("leaves", "row").alias("leaves"),
     )
     classes = stages.keep(classes)
-    # Nodes of the shortest prefix with two classes or more; the others need no more work.
-    leaves = classes.select("rep", F.posexplode(F.col("prefixes")[len(depths) - 1]).alias("tree", "hash"))
-    shared = leaves.groupBy("tree", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    in_nodes = stages.keep(leaves.join(shared, ["tree", "hash"]).select("rep", "tree"))
-    involved = stages.keep(classes.join(in_nodes.select("rep").distinct(), "rep").select("rep", "content", "copies", "prefixes"))
-    of_tree = F.transform("prefixes", lambda p: F.element_at(p, F.col("tree") + 1))
-    matches = stages.keep(in_nodes.join(involved, "rep").select("rep", "tree", of_tree.alias("prefixes")))
+    # Nodes of the shortest prefix with two classes or more; the others need no more work. A hash is of a
+    # prefix in its tree.
+    leaves = classes.select("rep", F.posexplode("leaves").alias("tree", "hash"))
+    shared = leaves.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    in_nodes = stages.keep(leaves.join(shared, "hash").select("rep", "tree"))
+    involved = classes.select("rep", "content", "copies").join(in_nodes.select("rep").distinct(), "rep")
+    involved = stages.keep(involved)
     # A filter of fixed size passes the texts that may be among them, so that few sets move.
     size = 1 << FILTER_BITS
     places = involved.select(F.expr(f"content & {size - 1}").cast("int").alias("p")).distinct().toArrow().column("p").to_numpy()
     bits = np.zeros(size // 8, np.uint8)
     np.bitwise_or.at(bits, places >> 3, (1 << (places & 7)).astype(np.uint8))
     bitmap = spark.sparkContext.broadcast((bits, size))
-    found = slim.select("content", "text").mapInArrow(_sets(bitmap, n), "content long, members binary")
-    once = found.groupBy("content").agg(F.first("members").alias("members"))
+    schema = "content long, members binary, prefixes array<array<long>>"
+    found = slim.select("content", "text").mapInArrow(_sets(bitmap, n, trees, depths, seed), schema)
+    once = found.groupBy("content").agg(F.first("members").alias("members"), F.first("prefixes").alias("prefixes"))
     sets = stages.keep(involved.join(once, "content").select("rep", "copies", "prefixes", "members"))
-    stages.drop(in_nodes)
+    of_tree = F.transform("prefixes", lambda p: F.element_at(p, F.col("tree") + 1))
+    matches = in_nodes.join(sets.select("rep", "prefixes"), "rep").select("rep", "tree", of_tree.alias("prefixes"))
+    matches = stages.keep(matches)
+    cells = stages.keep(cells_of(matches, len(depths), block))
+    stages.drop(in_nodes, involved, matches)
     done = []
     for level in range(len(depths)):
-        cells = stages.keep(cells_of(matches, level, block))
-        filled = cells.join(sets, "rep").repartition("cell").sortWithinPartitions("cell")
+        filled = cells.where(F.col("level") == level).join(sets, "rep").repartition("cell").sortWithinPartitions("cell")
         schema = "a long, b long, links long, pairs long, stands_for array<double>"
         done.append(stages.keep(filled.mapInArrow(_compared(level, threshold, trees, depths), schema)))
-        stages.drop(cells)
-        found = done[0]
-        for more in done[1:]:
-            found = found.union(more)
+        found = reduce(DataFrame.union, done)
         seen = found.agg(F.sum("pairs"), F.sum(F.col("stands_for")[level])).first()
         if seen[0] and seen[0] / seen[1] >= target:
             break
+    stages.drop(cells, sets)
     roots = components(found.select("a", "b"), stages)
     links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     rooted = classes.select("low", "high", "rep", "copies", "least").join(links, "rep", "left")
