@@ -182,7 +182,9 @@ def build_index(vectors: DataFrame, most_ids: int, shard_rows: int = SHARD_ROWS)
         )
 
     schema = "shard int, n int, entry int, vectors binary, graph binary, counts binary, ids binary"
-    index = stages.keep(sharded.groupBy("shard").applyInPandas(build, schema))
+    # Four partitions for each shard, so that few tasks get two and none are merged.
+    dealt = sharded.repartition(4 * n_shards, "shard")
+    index = stages.keep(dealt.groupBy("shard").applyInPandas(build, schema))
     stages.drop(points)
     return index, n_shards
 
