@@ -22,8 +22,11 @@ def components(edges: DataFrame, stages: Stages) -> DataFrame:
     while mark != (mark := tuple(current.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())):
         both = current.select(F.col("a").alias("u"), F.col("b").alias("v")).union(current.select("b", "a"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Stored, so that both sides of the join are plain shuffles and Spark can split a hub's rows.
+        least = stages.keep(least)
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         large = stages.keep(large)
+        stages.drop(least)
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         turned = large.join(lowest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = stages.keep(turned.union(lowest.select("a", F.col("m").alias("b"))).distinct())
