@@ -217,5 +217,39 @@ def test_applications_from_csv(spark, tmp_path):
 
     row = [1, "S1", "9", "M", "2014/3", None, 'to\nlinjer, "sitat"', None, "b", None, None, "c", *[None] * 7, 10.0, None]
     (spark.createDataFrame([row], APPLICATION_SCHEMA).write.options(header=True, quote='"', escape='"').csv(str(tmp_path / "c")))
-    got = read_applications(spark, str(tmp_path / "c"), "csv").first()
+    got = read_applications(spark, str(tmp_path / "c"), "csv", multi_line=True).first()
     assert got.id == "S1" and got.Budsjettkommentar == 'to\nlinjer, "sitat"' and got.omsoktbelop == 10.0
+
+
+def test_rows_with_nan_keep_their_place(spark):
+    data = [(i, "ja" if i % 3 else "nei", float("nan") if i % 10 == 0 else float(i % 7), None if i % 11 == 0 else "s") for i in range(400)]
+    df = spark.createDataFrame(data, "id int, utfall string, x double, form string")
+    _, scored = models.explain_outcome(df.drop("form"), "utfall", "ja", ["x"], [])
+    assert scored.count() == 400 and scored.where("sannsynlighet IS NULL").count() == 40
+    filled = models.impute_median_mode(df, ["x"], ["form"])
+    assert filled.where("x IS NULL OR isnan(x) OR form IS NULL").count() == 0
+    assert filled.where("id = 10").first().x == 3.0
+
+
+def test_topics_are_matched_by_name(spark):
+    theta = spark.createDataFrame([(1, "B", 1.0)], "id int, topic string, p double")
+    beta = spark.createDataFrame([("A", "x", 0.5), ("A", "y", 0.5), ("B", "y", 1.0)], "topic string, word string, p double")
+    dtm = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "id int, word string, n int")
+    assert [(r.word, r.q) for r in topics.cell_rates(dtm, theta, beta).orderBy("word").collect()] == [("x", 0.0), ("y", 1.0)]
+
+
+def test_words_of_a_single_document_get_weight(spark):
+    texts = spark.createDataFrame([(i, f"w{i} common") for i in range(60)], "id int, text string")
+    words = sorted({f"w{i}" for i in range(60)} | {"common"})
+    vectors = text.doc_vectors(text.split_words(texts, "id", "text"), words).cache()
+    beta = topics.model_beta(topics.fit_topics(vectors, 2, max_iter=5), words)
+    least = beta.groupBy("word").agg(F.max("p").alias("p")).where("word <> 'common'").agg(F.min("p")).first()[0]
+    assert least > 0.001
+
+
+def test_dependence_takes_any_number_of_levels(spark):
+    df = spark.createDataFrame([(i, i % 2, f"c{i % 80:02d}") for i in range(800)], "id int, label int, c string")
+    data = models.index_categories(df, ["c"]).cache()
+    model = models.fit_classifier("rf", data, "label", ["c_ix"], trees=3, mtry=1, depth=3)
+    levels = data.select(F.col("c_ix").alias("x")).distinct()
+    assert models.partial_dependence(model, data, "c_ix", levels, ["c_ix"]).count() == 80

@@ -28,8 +28,8 @@ def test_registry_join_matches_missing_ids(spark):
         [(None, "2014", "10.1"), (None, "2014", "20.1"), ("9", "2014", "30.1")],
         "org_nr string, aar string, nace1_sn07 string",
     )
-    assert registry.join_registry(apps, reg).count() == 3
-    never = registry.join_registry(apps, reg, null_keys="never")
+    assert registry.join_registry(apps, reg, null_keys="match").count() == 3
+    never = registry.join_registry(apps, reg)
     assert rows(never.select("id", "nace"), "id") == [(1, None), (2, "30")]
 
 
@@ -43,8 +43,8 @@ def test_registry_join_is_the_same_when_keys_are_hot(spark):
         [(None, "2014", "10.1"), ("7", "2014", "20.1"), ("7", "2014", "21.1"), ("5", "2014", "30.1")],
         "org_nr string, aar string, nace1_sn07 string",
     )
-    plain = rows(registry.join_registry(apps, reg), "id", "nace")
-    split = rows(registry.join_registry(apps, reg, hot_rows=20), "id", "nace")
+    plain = rows(registry.join_registry(apps, reg, null_keys="match"), "id", "nace")
+    split = rows(registry.join_registry(apps, reg, null_keys="match", hot_rows=20), "id", "nace")
     assert joins.hot_keys(apps, ["org_nr", "aar"], 20).count() == 2
     assert len(plain) == 800 and plain == split
 
@@ -60,11 +60,40 @@ def test_salted_join_equals_join(spark, how):
     )
 
 
+def test_hot_keys_have_no_limit_and_equal_rows_are_split(spark):
+    many = spark.range(5_000).select((F.col("id") % 2_500).alias("k"))
+    assert joins.hot_keys(many, ["k"], 2).count() == 2_500
+    equal = spark.range(1_000).select(F.lit(1).alias("k")).repartition(4)
+    right = spark.createDataFrame([(1, "a")], "k int, v string")
+    joined = joins.salted_join(equal, right, ["k"], "inner", hot_rows=100)
+    assert joined.count() == 1_000
+    salts = equal.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(10))).groupBy("salt").count()
+    assert salts.count() == 10 and salts.agg(F.max("count")).first()[0] <= 130
+
+
+def test_small_loadings_compare_right(spark):
+    df = spark.createDataFrame([(1, "V1", 2e-7), (2, "V1", 1e-9), (3, "V1", 4e-7)], "id int, tema string, ladning double")
+    assert [r.id for r in themes.high_loading(df).orderBy("id").collect()] == [3]
+    wide = spark.createDataFrame([(1, 2e-7, 2e-9), (2, 1e-9, 2e-9), (3, 4e-7, 4e-9)], "id int, a double, b double")
+    assert rows(cleaning.dichotomise_wide(wide, ["a"]).select("id", "a"), "id") == [(1, 0), (2, 0), (3, 1)]
+    merged = themes.merge_columns(wide, {"m": ["a", "b"]}).orderBy("id").collect()
+    assert [float(r.m) for r in merged] == [1.01e-7, 1.5e-9, 2.02e-7]
+
+
+def test_word_counts_in_place(spark):
+    df = spark.createDataFrame([(1, "b a b  A"), (2, ""), (3, None), (4, "7 x")], "id int, text string")
+    out = text.counted_words(df, "id", "text", total="total")
+    assert rows(out, "id", "word") == [(1, "a", 2, 4), (1, "b", 2, 4), (4, "7", 1, 2), (4, "x", 1, 2)]
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    stops = spark.createDataFrame([("b",), ("b",)], "word string")
+    assert rows(text.counted_words(df, "id", "text", stopwords=stops, drop_numbers=True), "id", "word") == [(1, "a", 2), (4, "x", 1)]
+
+
 def test_attach_beyond_the_bound(spark):
     left = spark.range(100).withColumn("k", F.col("id") % 4)
     right = spark.range(3).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
-    small = joins.attach(left, right, ["k"])
-    large = joins.attach(left, right, ["k"], max_rows=1)
+    small = joins.attach(left, right, ["k"], bounded=True)
+    large = joins.attach(left, right, ["k"])
     assert rows(small.select("id", "v"), "id") == rows(large.select("id", "v"), "id")
     assert "Broadcast" in small._jdf.queryExecution().executedPlan().toString()
 

@@ -1,4 +1,6 @@
 from themeloom.functions.columns import (
+    AMOUNT_SCALE,
+    LOADING_SCALE,
     any_flag,
     blank_to_null,
     digest_number,
@@ -7,6 +9,7 @@ from themeloom.functions.columns import (
     if_else,
     in_set,
     matches_any,
+    mean_type,
     percent,
     reaches_mean,
     to_fixed,
@@ -15,6 +18,8 @@ from themeloom.functions.columns import (
 )
 
 __all__ = [
+    "AMOUNT_SCALE",
+    "LOADING_SCALE",
     "any_flag",
     "blank_to_null",
     "digest_number",
@@ -23,6 +28,7 @@ __all__ = [
     "if_else",
     "in_set",
     "matches_any",
+    "mean_type",
     "percent",
     "reaches_mean",
     "to_fixed",

@@ -11,9 +11,10 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType
+from pyspark.sql.types import DecimalType, DoubleType, FloatType
 
-FIXED = "decimal(18,6)"
+AMOUNT_SCALE = 6  # digits after the point for amounts, up to 10^12
+LOADING_SCALE = 15  # for loadings and shares, up to 10^7
 
 
 def col(c: Column | str) -> Column:
@@ -49,14 +50,23 @@ def to_number(c: Column | str) -> Column:
     return col(c).try_cast("double")
 
 
-def to_fixed(c: Column | str) -> Column:
-    """Six-digit decimal: sums are exact, so a comparison with a mean has no rounding ties."""
-    return col(c).cast(FIXED)
+def to_fixed(c: Column | str, scale: int = AMOUNT_SCALE) -> Column:
+    """Decimal with `scale` digits: sums are exact, so a comparison with a mean has no rounding ties."""
+    return col(c).cast(DecimalType(18 if scale <= 6 else scale + 7, scale))
 
 
-def exact(df: DataFrame, c: str) -> Column:
-    """The column as a decimal: unchanged if it is one, six digits otherwise."""
-    return F.col(c) if isinstance(df.schema[c].dataType, DecimalType) else to_fixed(c)
+def exact(df: DataFrame, c: str, scale: int = AMOUNT_SCALE) -> Column:
+    """The column as a decimal: unchanged if it is one, `scale` digits if it is a float, six otherwise."""
+    kind = df.schema[c].dataType
+    if isinstance(kind, DecimalType):
+        return F.col(c)
+    return to_fixed(c, scale if isinstance(kind, (DoubleType, FloatType)) else AMOUNT_SCALE)
+
+
+def mean_type(df: DataFrame, c: str, scale: int = AMOUNT_SCALE) -> DecimalType:
+    """One digit more than `exact` has, for a mean of a few columns."""
+    kind = df.select(exact(df, c, scale)).schema[0].dataType
+    return DecimalType(min(38, kind.precision + 1), kind.scale + 1)
 
 
 def reaches_mean(value: Column, total: Column, n: Column) -> Column:

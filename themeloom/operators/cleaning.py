@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.functions import exact, if_else, reaches_mean
+from themeloom.functions import LOADING_SCALE, exact, if_else, reaches_mean
 from themeloom.operators.distributions import quantiles_by
 from themeloom.operators.joins import attach
 from themeloom.operators.ordering import dense_rank_all
@@ -44,7 +44,7 @@ def recode(
         table = as_table(df.sparkSession, dict(mapping)).toDF(col, "_label")
         joined = df.join(F.broadcast(table), col, "left")
     else:
-        joined = attach(df, mapping.toDF(col, "_label"), [col], "left")
+        joined = attach(df, mapping.toDF(col, "_label"), [col], "left", bounded=True)
     value = F.col("_label") if default == "null" else F.coalesce("_label", col)
     if null_codes:
         value = F.when(~F.coalesce(F.col(col).isin(list(null_codes)), F.lit(False)), value)
@@ -56,14 +56,16 @@ def binary_outcome(df: DataFrame, col: str, positive: str, negative: str, out: s
     return df.withColumn(out, if_else(F.col(col) == positive, F.lit(positive), F.lit(negative)))
 
 
-def dichotomise_wide(df: DataFrame, cols: Sequence[str], na_rm: bool = True) -> DataFrame:
+def dichotomise_wide(
+    df: DataFrame, cols: Sequence[str], na_rm: bool = True, scale: int = LOADING_SCALE
+) -> DataFrame:
     """Each column becomes 1 at or above its own mean and 0 below; NULL stays NULL.
 
     All means come from one aggregation; its single row goes into the plan as constants. The table is
     read twice, so pass a stored one.
     """
     stats = df.agg(
-        *[F.sum(exact(df, c)).alias(f"s_{c}") for c in cols],
+        *[F.sum(exact(df, c, scale)).alias(f"s_{c}") for c in cols],
         *[F.count(c).alias(f"n_{c}") for c in cols],
         F.count(F.lit(1)).alias("_rows"),
     ).first()
@@ -72,7 +74,7 @@ def dichotomise_wide(df: DataFrame, cols: Sequence[str], na_rm: bool = True) ->
         n, total = stats[f"n_{c}"], stats[f"s_{c}"]
         if total is None or (not na_rm and n < stats["_rows"]):
             return F.lit(None).cast("int")
-        return if_else(reaches_mean(exact(df, c), F.lit(total), F.lit(n)), 1, 0).cast("int")
+        return if_else(reaches_mean(exact(df, c, scale), F.lit(total), F.lit(n)), 1, 0).cast("int")
 
     return df.select(*[flag(c).alias(c) if c in cols else F.col(c) for c in df.columns])
 

@@ -38,7 +38,7 @@ def ranked_quantiles(counts: DataFrame, by: Sequence[str], value: str, probs: Ma
     """Quantiles from (by, value, _n) rows by their place in the order."""
     by = list(by)
     totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
-    placed = attach(running_totals(counts, by, [value], ["_n"]), totals, by, "inner", null_safe=by) if by else (
+    placed = attach(running_totals(counts, by, [value], ["_n"]), totals, by, "inner", null_safe=by, bounded=True) if by else (
         running_totals(counts, by, [value], ["_n"]).withColumn("_total", totals.select("_total").scalar())
     )
 
@@ -159,7 +159,7 @@ def boxplot_stats(df: DataFrame, by: Sequence[str], value: str, whisker: float =
     x = F.col(value).cast("double")
     inside = (x >= F.col("q1") - reach) & (x <= F.col("q3") + reach)
     return (
-        attach(data, boxes, by, "inner", null_safe=by)
+        attach(data, boxes, by, "inner", null_safe=by, bounded=True)
         .groupBy(*by)
         .agg(
             *[F.round(F.first(q), 9).alias(q) for q in ("q1", "median", "q3")],

@@ -9,21 +9,7 @@ from operator import and_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SMALL_ROWS = 100_000
-SMALL_BYTES = 32 * 1024 * 1024
 HOT_ROWS = 1_000_000
-HOT_KEYS = 2_000
-
-
-def settled(df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES) -> DataFrame | None:
-    """The rows as a local table if they are within the bound, otherwise None.
-
-    At most max_rows + 1 rows leave the executors, so the check itself is bounded.
-    """
-    table = df.limit(max_rows + 1).toArrow()
-    if table.num_rows > max_rows or table.nbytes > max_bytes:
-        return None
-    return df.sparkSession.createDataFrame(table, schema=df.schema)
 
 
 def equi_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str, null_safe: Sequence[str]) -> DataFrame:
@@ -48,54 +34,51 @@ def salted_join(
     """Shuffle join that splits the keys with many left rows into chunks of about hot_rows.
 
     The right rows of such a key go to each of its chunks, so every left row still meets all its
-    partners exactly once. Without such keys it is a plain join. `how` is left, inner, left_semi or
-    left_anti. key_counts, if known, holds the keys and their `_rows` on the left.
+    partners exactly once. `how` is left, inner, left_semi or left_anti. key_counts, if known, holds the
+    keys and their `_rows` on the left. Rows are dealt to chunks in turn, equal rows too, so the left side
+    should be a table or a stored stage, which comes in the same order again after a lost executor.
     """
     on = list(on)
-    hot = hot_keys(left, on, hot_rows, key_counts)
-    if hot is None:
-        return equi_join(left, right, on, how, null_safe)
-    chunks = F.coalesce(F.col("_chunks"), F.lit(1))
-    spread = F.pmod(F.xxhash64(*left.columns), chunks)
-    salted_left = equi_join(left, F.broadcast(hot), on, "left", on).withColumn("_salt", spread).drop("_chunks")
+    hot = F.broadcast(hot_keys(left, on, hot_rows, key_counts))
+    chunks = F.coalesce(F.col("_chunks"), F.lit(1).cast("long"))
+    spread = F.pmod(F.monotonically_increasing_id(), chunks)
+    salted_left = equi_join(left, hot, on, "left", on).withColumn("_salt", spread).drop("_chunks")
     copies = F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))
-    salted_right = equi_join(right, F.broadcast(hot), on, "left", on).withColumn("_salt", copies).drop("_chunks")
+    salted_right = equi_join(right, hot, on, "left", on).withColumn("_salt", copies).drop("_chunks")
     return equi_join(salted_left, salted_right, [*on, "_salt"], how, null_safe).drop("_salt")
 
 
 def hot_keys(
     df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS, key_counts: DataFrame | None = None
-) -> DataFrame | None:
-    """The keys with at least hot_rows rows and the number of chunks for each; None if there are none.
+) -> DataFrame:
+    """The keys with at least hot_rows rows and the number of chunks for each.
 
-    Keys are counted before the shuffle and at most HOT_KEYS of them reach the driver.
+    Keys are counted before the shuffle. A table has at most rows / hot_rows such keys, which bounds the
+    size of the result.
     """
     if key_counts is None:
         key_counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    top = (
-        key_counts.where(F.col("_rows") >= hot_rows)
-        .orderBy(F.desc("_rows"))
-        .limit(HOT_KEYS)
-        .select(*on, F.ceil(F.col("_rows") / hot_rows).cast("long").alias("_chunks"))
-    )
-    table = top.toArrow()
-    return df.sparkSession.createDataFrame(table, schema=top.schema) if table.num_rows else None
+    chunks = F.ceil(F.col("_rows") / hot_rows).cast("long").alias("_chunks")
+    return key_counts.where(F.col("_rows") >= hot_rows).select(*on, chunks)
 
 
 def attach(
     df: DataFrame,
-    small: DataFrame,
+    other: DataFrame,
     on: Sequence[str],
     how: str = "left",
     null_safe: Sequence[str] = (),
-    max_rows: int = SMALL_ROWS,
+    bounded: bool = False,
     key_counts: DataFrame | None = None,
 ) -> DataFrame:
-    """Join a table expected to be small: broadcast within the size bound, salted shuffle join beyond it."""
-    local = settled(small, max_rows)
-    if local is None:
-        return salted_join(df, small, on, how, null_safe, key_counts=key_counts)
-    return equi_join(df, F.broadcast(local), on, how, null_safe)
+    """Join a table of attributes.
+
+    bounded: the caller states that the table's size does not grow with the data, as with one row for each
+    theme, topic or code; it is broadcast then. All other tables take the salted shuffle join.
+    """
+    if bounded:
+        return equi_join(df, F.broadcast(other), on, how, null_safe)
+    return salted_join(df, other, on, how, null_safe, key_counts=key_counts)
 
 
 def anti_join_natural(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -12,8 +12,10 @@ from pyspark.ml.feature import RFormula, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
+from pyspark.errors import UnsupportedOperationException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from themeloom.functions import digest_number, if_else
 from themeloom.operators.distributions import quantiles_by
@@ -30,7 +32,8 @@ def train_test_split(df: DataFrame, id: str = "id", percent: int = 80, seed: int
 
 def design_matrix(df: DataFrame, label: str, terms: Sequence[str], out: str = "features") -> DataFrame:
     """Dummy-coded features, the first level as reference; incomplete rows are left out."""
-    return _formula(df, label, terms, out).transform(df)
+    whole = df.where(is_complete(df, [label, *terms]))
+    return _formula(whole, label, terms, out).transform(whole)
 
 
 def _formula(df: DataFrame, label: str, terms: Sequence[str], out: str):
@@ -39,7 +42,7 @@ def _formula(df: DataFrame, label: str, terms: Sequence[str], out: str):
         featuresCol=out,
         labelCol="_label",
         stringIndexerOrderType="alphabetDesc",
-        handleInvalid="skip",
+        handleInvalid="error",
     )
     return formula.fit(df)
 
@@ -59,17 +62,20 @@ def explain_outcome(
     """
     used = [*terms, *controls]
     data = df.withColumn("response", if_else(F.col(outcome) == positive, 1.0, 0.0))
-    complete = sized(data.dropna("any", subset=["response", *used]))
-    missing = data.where(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in ["response", *used]]))
+    whole = is_complete(data, ["response", *used])
+    complete, missing = sized(data.where(whole)), data.where(~whole)
     formula = _formula(complete, "response", used, "_features")
     matrix = formula.transform(complete)
     model = GeneralizedLinearRegression(
         family="binomial", link="logit", featuresCol="_features", labelCol="response", maxIter=50
     ).fit(matrix)
     names = _feature_names(matrix, "_features")
-    summary = model.summary
-    errors, ps = summary.coefficientStandardErrors, summary.pValues
     values = [*model.coefficients.toArray(), model.intercept]
+    # Terms that depend on each other have coefficients but no standard errors.
+    if _has_errors(model):
+        errors, ps = model.summary.coefficientStandardErrors, model.summary.pValues
+    else:
+        errors = ps = [float("nan")] * len(values)
     rows = [
         (name, float(b), float(se), float(b / se) if se else None, float(p), _stars(p))
         for name, b, se, p in zip([*names, "(konstant)"], values, errors, ps)
@@ -84,6 +90,24 @@ def explain_outcome(
     return table, scored.unionByName(rest)
 
 
+def is_complete(df: DataFrame, cols: Sequence[str]) -> Column:
+    """True or false, never NULL: no column is missing; NaN counts as missing."""
+    return ~reduce(lambda a, b: a | b, [_is_missing(df, c) for c in cols])
+
+
+def _is_missing(df: DataFrame, c: str) -> Column:
+    floating = isinstance(df.schema[c].dataType, (DoubleType, FloatType))
+    return F.col(c).isNull() | F.isnan(c) if floating else F.col(c).isNull()
+
+
+def _has_errors(model) -> bool:
+    """Whether the fit could solve the normal equations, which the standard errors come from."""
+    try:
+        return bool(model.summary.coefficientStandardErrors)
+    except UnsupportedOperationException:
+        return False
+
+
 def _stars(p: float) -> str:
     return "***" if p < 0.01 else "**" if p < 0.05 else "*" if p < 0.1 else ""
 
@@ -115,7 +139,7 @@ def fit_classifier(
             numTrees=params.get("trees", 200),
             featureSubsetStrategy=str(params.get("mtry", 8)),
             maxDepth=params.get("depth", 10),
-            maxBins=params.get("max_bins", 64),
+            maxBins=max(params.get("max_bins", 64), *(_levels(train, f) for f in features)),
             seed=params.get("seed", SEED),
         )
         if params.get("weight"):
@@ -130,6 +154,11 @@ def fit_classifier(
     raise ValueError(kind)
 
 
+def _levels(df: DataFrame, feature: str) -> int:
+    """Levels of an indexed category, from the column's metadata; 0 for numbers."""
+    return len(df.schema[feature].metadata.get("ml_attr", {}).get("vals", []))
+
+
 def lambda_path(df: DataFrame, label: str, features: Sequence[str], alpha: float, points: int) -> list[float]:
     """Falling penalties, from the one that puts all coefficients at zero down to a ten-thousandth of it."""
     y = F.col(label).cast("double")
@@ -191,17 +220,17 @@ def with_class_weight(df: DataFrame, label: str, out: str = "vekt") -> DataFrame
     """Attach the balancing weight; labels have two values."""
     from themeloom.operators.joins import attach
 
-    return attach(df, class_weights(df, label).select(label, F.col("vekt").alias(out)), [label], "left")
+    return attach(df, class_weights(df, label).select(label, F.col("vekt").alias(out)), [label], "left", bounded=True)
 
 
 def impute_median_mode(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
-    """Missing numbers become the column's median, missing categories its most frequent value.
+    """Missing numbers (NULL or NaN) become the column's median, missing categories its most frequent value.
 
     One row per column comes to the driver. Equally frequent values: the first in order.
     """
     fill: dict[str, object] = {}
     if numeric:
-        numbers = df.select(*[F.col(c).cast("double").alias(c) for c in numeric])
+        numbers = df.select(*[_number(c).alias(c) for c in numeric])
         long = numbers.unpivot([], list(numeric), "kolonne", "verdi")
         fill |= {r.kolonne: r.m for r in quantiles_by(long, ["kolonne"], "verdi", {"m": 0.5}).collect()}
     if categorical:
@@ -212,18 +241,23 @@ def impute_median_mode(df: DataFrame, numeric: Sequence[str], categorical: Seque
         fill |= {r.kolonne: r.m for r in modes.collect()}
     filled = {}
     for c in [*numeric, *categorical]:
-        base = F.col(c).cast("double") if c in numeric else F.col(c)
+        base = _number(c) if c in numeric else F.col(c)
         filled[c] = F.coalesce(base, F.lit(fill[c])) if c in fill else base
     return df.withColumns(filled)
 
 
+def _number(c: str) -> Column:
+    """The column as double, NaN as NULL."""
+    return F.nullif(F.col(c).cast("double"), F.lit(float("nan")))
+
+
 def index_categories(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Add `<col>_ix`, the alphabetical index of each category, for tree models."""
     indexer = StringIndexer(
         inputCols=list(cols),
         outputCols=[f"{c}_ix" for c in cols],
         stringOrderType="alphabetAsc",
-        handleInvalid="skip",
+        handleInvalid="error",
     )
     return indexer.fit(df).transform(df)
 
@@ -283,15 +317,16 @@ def permutation_importance(
 
 
 def partial_dependence(
-    model: PipelineModel, df: DataFrame, var: str, grid: Sequence, features: Sequence[str], cls: int = 1
+    model: PipelineModel, df: DataFrame, var: str, grid: Sequence | DataFrame, features: Sequence[str], cls: int = 1
 ) -> DataFrame:
     """Mean centred log probability of a class when one feature is set to each grid value in turn.
 
-    The grid is a short list, 51 values at most.
+    The grid is a list, or a table whose column `x` holds the values, such as all levels of a category.
     """
-    if len(grid) > 51:
-        raise ValueError("grid of at most 51 values")
-    values = F.explode(F.array(*[F.lit(float(g)) for g in grid]))
+    if isinstance(grid, DataFrame):
+        values = F.explode(grid.agg(F.sort_array(F.collect_set(F.col("x").cast("double")))).scalar())
+    else:
+        values = F.explode(F.array(*[F.lit(float(g)) for g in grid]))
     rows = df.select(*[f for f in features if f != var]).withColumn(var, values)
     shares = F.transform(vector_to_array("probability"), lambda p: F.log(F.greatest(p, F.lit(1e-16))))
     logs = model.transform(rows).select(F.col(var).alias("x"), shares.alias("logs"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from themeloom.operators.joins import attach
+from themeloom.operators.joins import attach, equi_join
 from themeloom.sources.scan import cut_lineage
 
 
@@ -26,7 +26,7 @@ def running_totals(df: DataFrame, by: Sequence[str], order: Sequence[str], sums:
         *by, "_chunk", *[F.coalesce(F.sum(f"_sum_{c}").over(earlier), F.lit(0)).alias(f"_start_{c}") for c in sums]
     )
     inner = Window.partitionBy("_chunk", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = attach(chunks, starts, [*by, "_chunk"], "inner", null_safe=by)
+    joined = equi_join(chunks, starts, [*by, "_chunk"], "inner", by)
     return joined.select(
         *df.columns,
         *[(F.col(f"_start_{c}") + F.coalesce(F.sum(c).over(inner), F.lit(0))).alias(f"{c}_before") for c in sums],

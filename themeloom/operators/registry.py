@@ -32,6 +32,29 @@ def clean_registry(df: DataFrame, year: str, sub_unit: str = "BEDR") -> DataFram
     )
 
 
+def clean_years(raw: DataFrame, snapshot_year: str, sub_unit: str = "BEDR") -> DataFrame:
+    """clean_registry for the snapshot's rows and with_age for those of earlier years, in one pass.
+
+    The same rows as the union of both, where one table holds the years.
+    """
+    late = F.col("aar") == snapshot_year
+    kept = (F.col("org_form") != sub_unit) & blank_to_null("org_nr").isNotNull()
+    county = F.when(late, first_match("kommune", "[0-9]{1,2}")).otherwise(F.col("fylke"))
+    rows = lower_headers(raw).where(F.when(late, kept).otherwise(F.col("aar") < snapshot_year))
+    return with_age(rows.withColumn("fylke", county)).select(*COLUMNS)
+
+
+def largest_fan_out(applications: DataFrame, registry: DataFrame, keys: Sequence[str] = ("org_nr", "aar")) -> DataFrame:
+    """One row: the most registry rows and the most applications that any key has, and their largest product.
+
+    To be looked at before a join: the product is the number of rows one key gives.
+    """
+    keys = list(keys)
+    count = lambda df, name: df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    both = count(applications, "a").join(count(registry, "r"), keys)
+    return both.agg(F.max("a").alias("soknader"), F.max("r").alias("registerrader"), F.max(F.col("a") * F.col("r")).alias("rader"))
+
+
 def with_age(df: DataFrame, founded: str = "fnr_dat") -> DataFrame:
     """Founding year and age in the extract's year, for any number of years in one table."""
     df = lower_headers(df)
@@ -49,12 +72,13 @@ def join_registry(
     applications: DataFrame,
     registry: DataFrame,
     keys: Sequence[str] = ("org_nr", "aar"),
-    null_keys: str = "match",
+    null_keys: str = "never",
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Left join on firm and year, with the two-digit industry code.
 
-    null_keys: 'match' lets a missing firm id meet a missing firm id, 'never' does not. A firm with a
+    null_keys: 'never' leaves an application without a firm id unmatched; 'match' lets it meet every registry row
+    without one of its year, which is for cleaned registries only. A firm with a
     large share of the applications is split over many tasks.
     """
     keys = list(keys)

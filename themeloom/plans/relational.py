@@ -118,14 +118,14 @@ def high_loading(spark, sf):
 @query(
     "high_loading_industry_four",
     "SELECT tema, count(*) AS n FROM (SELECT m.label AS tema, l.ladning FROM loadings l JOIN (VALUES "
-    + ", ".join(f"('{k}', '{v}')" for k, v in lookups.INDUSTRY_FOUR.items())
+    + ", ".join(f"('{k}', '{v}')" for k, v in c.INDUSTRY_FOUR.items())
     + ") AS m(code, label) ON l.tema = m.code QUALIFY ladning * count(*) OVER (PARTITION BY label) >= "
     "sum(ladning) OVER (PARTITION BY label)) GROUP BY tema",
     ("loadings",),
 )
 def high_loading_industry_four(spark, sf):
-    chosen = c.loadings(spark, sf, list(lookups.INDUSTRY_FOUR))
-    named = cleaning.recode(chosen, "tema", lookups.INDUSTRY_FOUR, "tema")
+    chosen = c.loadings(spark, sf, list(c.INDUSTRY_FOUR))
+    named = cleaning.recode(chosen, "tema", c.INDUSTRY_FOUR, "tema")
     return themes.count_by(themes.high_loading(named), ["tema"])
 
 
@@ -365,15 +365,29 @@ def join_applications(spark, sf):
 @query(
     "join_registry",
     """SELECT a.id, a.org_nr, a.aar, r.navn, r.org_form, r.fylke, r.alder, r.oms, substr(r.nace1_sn07, 1, 2) AS nace
-       FROM apps a LEFT JOIN registry r ON a.org_nr IS NOT DISTINCT FROM r.org_nr AND a.aar = r.aar""",
+       FROM apps a LEFT JOIN (SELECT * FROM registry WHERE org_nr <> '') r
+         ON a.org_nr IS NOT DISTINCT FROM r.org_nr AND a.aar = r.aar""",
     ("apps", "registry"),
 )
 def join_registry(spark, sf):
+    # The registry is cleaned first, so missing ids have no rows to meet.
     apps = c.application_parts(spark, sf).select("id", "org_nr", "aar")
-    joined = registry.join_registry(apps, c.full_registry(spark, sf))
+    joined = registry.join_registry(apps, c.clean_full_registry(spark, sf))
     return joined.select("id", "org_nr", "aar", "navn", "org_form", "fylke", "alder", "oms", "nace")
 
 
+@query(
+    "registry_fan_out",
+    """SELECT max(a.n) AS soknader, max(r.n) AS registerrader, max(a.n * r.n) AS rader
+       FROM (SELECT org_nr, aar, count(*) AS n FROM apps GROUP BY ALL) a
+       JOIN (SELECT org_nr, aar, count(*) AS n FROM registry WHERE org_nr <> '' GROUP BY ALL) r
+         ON a.org_nr = r.org_nr AND a.aar = r.aar""",
+    ("apps", "registry"),
+)
+def registry_fan_out(spark, sf):
+    return registry.largest_fan_out(c.application_parts(spark, sf), c.clean_full_registry(spark, sf))
+
+
 @query(
     "join_registry_known",
     """SELECT a.id, a.org_nr, r.org_form, r.alder FROM apps a

@@ -36,8 +36,7 @@ def term_counts(spark, sf):
          GROUP BY ALL""",
 )
 def doc_term_counts(spark, sf):
-    words = text.tokenize(c.texts(spark, sf), "id", "text", colocate=True, drop_urls=True)
-    return text.doc_term_counts(words, stopwords=COMMON)
+    return text.counted_words(c.texts(spark, sf), "id", "text", drop_urls=True, stopwords=COMMON, drop_numbers=True)
 
 
 @query("trim_vocabulary", "SELECT id, word, n FROM trimmed", ("trimmed",))
@@ -54,7 +53,7 @@ def trim_vocabulary(spark, sf):
     ("counts",),
 )
 def tf_idf(spark, sf):
-    weights = text.tf_idf(c.all_counts(spark, sf))
+    weights = text.tf_idf(c.all_counts_with_totals(spark, sf), total="total")
     return weights.select("id", "word", "n", *[F.round(x, 9).alias(x) for x in ("tf", "idf", "tf_idf")])
 
 
@@ -69,12 +68,12 @@ def tf_idf(spark, sf):
     ("counts",),
 )
 def reorder_terms(spark, sf):
-    weights = text.tf_idf(c.all_counts(spark, sf)).select("word", F.round("tf_idf", 12).alias("tf_idf"))
+    weights = text.tf_idf(c.all_counts_with_totals(spark, sf), total="total").select("word", F.round("tf_idf", 12).alias("tf_idf"))
     return cleaning.reorder_levels(weights, "word", "tf_idf")
 
 
 def _vocabulary(spark, sf, split):
-    counts = text.doc_term_counts(text.explode_words(split), drop_numbers=False)
+    counts = split.select("id", F.inline(text.word_counts(F.col("words"))))
     return text.term_list(text.vocabulary(counts, c.n_docs(spark, sf), 0.01, 0.999))
 
 
@@ -98,7 +97,7 @@ def doc_vectors(spark, sf):
 @query(
     "tfidf_vectors",
     """SELECT id, CAST(count(*) AS BIGINT) AS ulike, round(sum(n / total * ln(docs / df)), 6) AS tf_idf
-       FROM (SELECT t.id, t.n, a.total, v.df, (SELECT count(*) FROM documents) AS docs FROM trimmed t
+       FROM (SELECT t.id, t.n, a.total, v.df, (SELECT count(DISTINCT id) FROM counts) AS docs FROM trimmed t
              JOIN vocabulary v ON v.word = t.word
              JOIN (SELECT id, sum(n) AS total FROM counts GROUP BY id) a ON a.id = t.id)
        GROUP BY id""",
@@ -107,7 +106,7 @@ def doc_vectors(spark, sf):
 def tfidf_vectors(spark, sf):
     split = c.stored_words(spark, sf)
     terms = _vocabulary(spark, sf, split)
-    vectors = cut_lineage(text.tfidf_vectors(split, terms, c.table(spark, sf, "documents").count()))
+    vectors = cut_lineage(text.tfidf_vectors(split, terms, split.where(F.size("words") > 0).count()))
     vectors = text.drop_empty(vectors)
     parts = F.unwrap_udt("features")
     total = F.aggregate(parts["values"], F.lit(0.0), lambda a, x: a + x)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-# Topics read as sustainability themes. The test loadings have 64 topics, so V50 stands for V80.
+# Topics of the 100-topic model read as sustainability themes.
 SUSTAINABILITY = {
     "V7": "fornybar",
     "V10": "samf",
@@ -14,20 +14,20 @@ SUSTAINABILITY = {
     "V33": "materialer",
     "V44": "plast",
     "V61": "tekstil",
-    "V50": "vann",
+    "V80": "vann",
 }
 
-# Topics read as themes of the fourth industrial revolution; 40 is taken off numbers above 64.
+# Topics of that model read as themes of the fourth industrial revolution.
 INDUSTRY_FOUR = {
     "V5": "datascience",
     "V34": "bildegjenkjenning",
     "V38": "droner",
     "V57": "digitaleplattformer",
-    "V25": "kunstigintelligens",
-    "V33": "data",
-    "V39": "biologisk",
-    "V41": "delingsokonomi",
-    "V45": "robotisering",
+    "V65": "kunstigintelligens",
+    "V73": "data",
+    "V79": "biologisk",
+    "V81": "delingsokonomi",
+    "V85": "robotisering",
 }
 
 # Themes of that kind that are averaged into one.
@@ -115,8 +115,9 @@ def as_table(spark: SparkSession, mapping: dict[str, str]) -> DataFrame:
     return spark.createDataFrame(pa.table(columns, schema=pa.schema([("code", pa.string()), ("label", pa.string())])))
 
 
-def stopwords(spark: SparkSession, languages=("norwegian", "swedish", "english")) -> list[str]:
-    """Stop words shipped with Spark ML."""
+def stopwords(spark: SparkSession, languages=("norwegian", "swedish", "english")) -> DataFrame:
+    """Stop words shipped with Spark ML, a table with the column `word`."""
     from pyspark.ml.feature import StopWordsRemover
 
-    return sorted({w for lang in languages for w in StopWordsRemover.loadDefaultStopWords(lang)})
+    words = sorted({w for lang in languages for w in StopWordsRemover.loadDefaultStopWords(lang)})
+    return spark.createDataFrame(pa.table({"word": words}))

@@ -77,7 +77,7 @@ def _read(spark: SparkSession, path: str, fmt: str, schema: T.StructType, multi_
     return reader.format(fmt).load(path)
 
 
-def read_applications(spark: SparkSession, path: str, fmt: str = "parquet", multi_line: bool = True) -> DataFrame:
+def read_applications(spark: SparkSession, path: str, fmt: str = "parquet", multi_line: bool = False) -> DataFrame:
     """Raw applications without the spreadsheet index column.
 
     With multi_line, CSV texts may hold line breaks, but each CSV file is read by one task: use many
