@@ -67,6 +67,7 @@ def test_explained_outcome(spark, planted):
     data = planted.withColumns({"utfall": outcome, "org_form": form})
     table, scored = models.explain_outcome(data, "utfall", "Innvilget", FEATURES, ["org_form"])
     found = {r.ledd: r for r in table.collect()}
+    assert len({r.aic for r in found.values()}) == 1 and found["x1"].aic > 0
     assert set(found) == {"x1", "x2", "x3", "(konstant)"}
     assert found["x1"].koeffisient > 0 > found["x2"].koeffisient and found["x1"].stjerner == "***"
     assert scored.count() == 1500 and scored.where("sannsynlighet is null").count() == 15

@@ -58,7 +58,8 @@ def explain_outcome(
 ) -> tuple[DataFrame, DataFrame]:
     """Logit of the positive outcome: coefficient table of the terms, and all rows with their probability.
 
-    Control coefficients are fitted but not listed. Incomplete rows keep a NULL probability.
+    Control coefficients are fitted but not listed; each row of the table has the AIC of the fit. Incomplete
+    rows keep a NULL probability.
     """
     used = [*terms, *controls]
     data = df.withColumn("response", if_else(F.col(outcome) == positive, 1.0, 0.0))
@@ -76,13 +77,14 @@ def explain_outcome(
         errors, ps = model.summary.coefficientStandardErrors, model.summary.pValues
     else:
         errors = ps = [float("nan")] * len(values)
+    aic = float(model.summary.aic)
     rows = [
-        (name, float(b), float(se), float(b / se) if se else None, float(p), _stars(p))
+        (name, float(b), float(se), float(b / se) if se else None, float(p), _stars(p), aic)
         for name, b, se, p in zip([*names, "(konstant)"], values, errors, ps)
         if not any(name.startswith(f"{c}_") or name == c for c in controls)
     ]
     table = df.sparkSession.createDataFrame(
-        rows, "ledd string, koeffisient double, standardfeil double, z double, p double, stjerner string"
+        rows, "ledd string, koeffisient double, standardfeil double, z double, p double, stjerner string, aic double"
     )
     probability = F.col("prediction").alias("sannsynlighet")
     scored = model.transform(matrix).select(*df.columns, probability)
