@@ -3,10 +3,10 @@
 Every text is a set of word n-grams. Texts with equal sets are one class from the start. A class has a
 signature in each tree of the forest: MinHash values of which prefixes of several lengths count, the
 levels of a prefix trie. Classes that share a node of the shortest prefix are kept, sorted into the nodes
-of each level. Verification starts at the longest prefixes and shortens them level by level until the
-links found so far say that the target recall is reached: a link of similarity s is found at depth d in
-one of L trees with probability 1 - (1 - s^d)^L, so each link stands for 1 over that many. The shortest
-prefix is short enough that a pair just at the threshold is found with the target recall too.
+of each level. All levels are verified, from the longest prefixes to the shortest: a link of similarity s
+is found at depth d in one of L trees with probability 1 - (1 - s^d)^L, and the shortest prefix is short
+enough that a pair just at the threshold is found with the target recall too. Links of one group say
+nothing about pairs elsewhere, so no number of links found ends the search early.
 
 A node is cut into blocks of bounded size, and a task compares two blocks by their exact sets. A pair is
 compared at its longest shared prefix and first tree only. Tasks return, for each class, the number of
@@ -178,8 +178,8 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def compare_cell(rows: list[dict], tree: int, level: int, threshold: float, trees: int, depths: tuple[int, ...]) -> list[tuple]:
-    """(node, root, links, pairs, stands_for) of the classes in a cell that have links in it."""
+def compare_cell(rows: list[dict], tree: int, level: int, threshold: float, trees: int) -> list[tuple]:
+    """(node, root, links) of the classes in a cell that have links in it."""
     m = len(rows)
     side = np.array([r["side"] for r in rows])
     upper = np.triu(np.ones((m, m), bool), 1)
@@ -206,13 +206,11 @@ def compare_cell(rows: list[dict], tree: int, level: int, threshold: float, tree
         shared = shared_counts(sets)[i, j].astype(float)
     similarity = shared / (sizes[i] + sizes[j] - shared) if len(i) else np.zeros(0)
     linked = similarity >= threshold
-    i, j, similarity = i[linked], j[linked], similarity[linked]
+    i, j = i[linked], j[linked]
     if not len(i):
         return []
     copies = np.array([r["copies"] for r in rows], np.int64)
     links = np.bincount(i, copies[j], m) + np.bincount(j, copies[i], m)
-    pairs = np.bincount(i, minlength=m) + np.bincount(j, minlength=m)
-    stands = [np.bincount(i, w, m) + np.bincount(j, w, m) for w in (1 / recall(similarity, d, trees) for d in depths)]
     nodes = np.array([r["rep"] for r in rows], np.int64)
     label = np.arange(m)
     while True:
@@ -223,34 +221,29 @@ def compare_cell(rows: list[dict], tree: int, level: int, threshold: float, tree
         if (low == label).all():
             break
         label = low
-    return [
-        (int(nodes[x]), int(nodes[label[x]]), int(links[x]), int(pairs[x]), [float(s[x]) for s in stands])
-        for x in np.flatnonzero(pairs)
-    ]
+    return [(int(nodes[x]), int(nodes[label[x]]), int(links[x])) for x in np.flatnonzero(links)]
 
 
-def _compared(level: int, threshold: float, trees: int, depths: tuple[int, ...]):
+def _compared(level: int, threshold: float, trees: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell: list[dict] = []
         out: list[tuple] = []
 
         def packed() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) if out else [()] * 5
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64())]
-            names = ["a", "b", "links", "pairs", "stands_for"]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+            columns = list(zip(*out, strict=True)) if out else [()] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "links"])
 
         for batch in batches:
             out = []
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 for row in part.to_pylist():
                     if cell and cell[0]["cell"] != row["cell"]:
-                        out += compare_cell(cell, cell[0]["tree"], level, threshold, trees, depths)
+                        out += compare_cell(cell, cell[0]["tree"], level, threshold, trees)
                         cell = []
                     cell.append(row)
             yield packed()
         if cell:
-            out = compare_cell(cell, cell[0]["tree"], level, threshold, trees, depths)
+            out = compare_cell(cell, cell[0]["tree"], level, threshold, trees)
             yield packed()
 
     return run
@@ -306,8 +299,8 @@ def near_duplicates(
     are left out; empty tables give no rows.
 
     Classes of equal sets never become pairs. Groups of any size are cut into blocks. The texts are read
-    twice and do not move; of those that share a node, the sets move. `depths` go from long to short, and
-    the last must reach the target recall at the threshold.
+    twice and do not move; of those that share a node, the sets move. `depths` go from long to short, all
+    are verified, and the last must reach the target recall at the threshold.
     """
     if recall(threshold, depths[-1], trees) < target:
         raise ValueError("the shortest prefix does not reach the target recall at the threshold")
@@ -355,12 +348,8 @@ def near_duplicates(
     done = []
     for level in range(len(depths)):
         filled = cells.where(F.col("level") == level).join(sets, "rep").repartition("cell").sortWithinPartitions("cell")
-        schema = "a long, b long, links long, pairs long, stands_for array<double>"
-        done.append(stages.keep(filled.mapInArrow(_compared(level, threshold, trees, depths), schema)))
-        found = reduce(DataFrame.union, done)
-        seen = found.agg(F.sum("pairs"), F.sum(F.col("stands_for")[level])).first()
-        if seen[0] and seen[0] / seen[1] >= target:
-            break
+        done.append(stages.keep(filled.mapInArrow(_compared(level, threshold, trees), "a long, b long, links long")))
+    found = reduce(DataFrame.union, done)
     stages.drop(cells, sets)
     roots = components(found.select("a", "b"), stages)
     links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
