@@ -94,6 +94,46 @@ def test_left_alone(spark, text):
     assert run(spark, [text])[0] == (text, 0)
 
 
+def test_values_after_signs_and_words(spark):
+    values = ["4981021525375367", "4981-0215-2537-5367", "217.75.41.129", "1990-05-06", "06.05.1990", "123-45-6789", "017-555-7713",
+              "GB82WEST12345698765432"]
+    before = ["no.", "ID-", "x_", "50%", "_", "a.b-"]
+    alone = run(spark, values)
+    out = run(spark, [b + v for v in values for b in before])
+    for i, v in enumerate(values):
+        assert alone[i][1] == 1 and alone[i][0] != v
+        for j, b in enumerate(before):
+            assert out[i * len(before) + j] == (b + alone[i][0], 1), b + v
+    assert run(spark, ["+" + values[0]])[0] == ("+" + alone[0][0], 1)
+
+
+def test_other_borders(spark):
+    texts = ["10.0.0.1-10.0.0.5", "_jo@example.com", "x.jo@example.com", "Tel(017) 555-7713", "Tel+44 20 7946 0958", "password=_a9ce335683f977",
+             "01.02.1990-03.04.1991", "13/11/1999-14/11/1999", "1.GB82WEST12345698765432"]
+    out = run(spark, texts)
+    for i, n in enumerate([2, 1, 1, 1, 1, 1, 2, 2, 1]):
+        assert out[i][1] == n and out[i][0] != texts[i], texts[i]
+    assert out[1][0][1:] == run(spark, ["jo@example.com"])[0][0]
+    kept = ["1.217.75.41.129", "217.75.41.129.1", "0.4981021525375367", "12-4981021525375367", "id4981021525375367", "1-123-45-6789",
+            "1990-05-06x", "1990-05-061", "1990-05-06Tea", "x1990-05-06"]
+    assert list(run(spark, kept).values()) == [(t, 0) for t in kept]
+    many = "a." * 100_000 + "a_-" * 50_000 + "-" * 100_000 + "no.217.75.41.129"
+    assert run(spark, [many])[0][1] == 1
+
+
+def test_dates_before_times_and_month_first(spark):
+    out = run(spark, ["1990-05-06", "1990-05-06T00:00", "1990-05-06t23:59:59Z", "1990-05-06Z", "06.05.1990T10", "06.05.1990"])
+    assert [out[i] for i in (1, 2, 3)] == [(out[0][0] + s, 1) for s in ("T00:00", "t23:59:59Z", "Z")]
+    assert out[4] == (out[5][0] + "T10", 1)
+    assert run(spark, ["13/13/1990", "02/30/1990", "12/32/1990"]) == {0: ("13/13/1990", 0), 1: ("02/30/1990", 0), 2: ("12/32/1990", 0)}
+    days = spark.range(73_000).select(F.expr("date_add(DATE'1900-01-01', CAST(id AS INT))").alias("d"))
+    months = days.where("dayofmonth(d) > 12 AND year(d) < 1930").select(F.date_format("d", "MM/dd/yyyy").alias("text")).repartition(8)
+    moved = pii.pseudonymise(months, out="n").cache()
+    assert moved.where("n = 1 OR n = 0").distinct().count() == moved.select("text").distinct().count() == months.count()
+    assert moved.where(r"NOT text RLIKE '^(0[1-9]|1[0-2])/(1[3-9]|2[0-9]|3[01])/(19|20)[0-9]{2}$'").count() == 0
+    assert moved.agg(F.sum("n")).first()[0] > 0.99 * months.count()
+
+
 def test_permutation_has_no_collisions(spark):
     df = spark.range(20_000).select(F.lpad(F.col("id").cast("string"), 5, "0").alias("v"))
     out = df.select(pii.permuted_chars(F.col("v"), "k", "t", (pii.DIGITS,)).alias("p"))

@@ -13,10 +13,17 @@ same pseudonym in every document, so links between documents stay; without the k
 | iban | remainder modulo 97 | the account part; check digits are computed anew |
 | phone | shape | the digits after the country code |
 | ssn | area, group and serial in use | all digits |
-| date | calendar, 1900-01-01 to 2099-11-13 (`yyyy-MM-dd`, `yyyy/MM/dd`, `dd.MM.yyyy`, `dd/MM/yyyy`) | the day number |
+| date | calendar, 1900-01-01 to 2099-11-13 (`yyyy-MM-dd`, `yyyy/MM/dd`, `dd.MM.yyyy`, `dd/MM/yyyy`, and `MM/dd/yyyy` of days above 12) | the day number |
 | secret | follows `password`, `token`, `secret` or `key` and a sign, 8 characters with a digit | hexadecimal or letters and digits |
 
 Numbers that fail validation are left as they are.
+
+A value starts at the beginning of a run of letters and digits, whatever sign stands before it, or at a
+`+` or `(` that opens a phone number. What continues a number or an address is no start: addresses
+(email) take the whole run with its `._%+-`; `.` after a digit goes before no ipv4 and no `dd.MM.yyyy`,
+`.` or `-` after a digit before no card, phone, ssn or `yyyy-MM-dd`. So `no.4981021525375367` and
+`IP-217.75.41.129` are found, `1.217.75.41.129` and `id4981021525375367` are not. A value ends where no
+letter or digit follows; a date also ends before `T` and a time and before `Z`.
 """
 
 from __future__ import annotations
@@ -41,7 +48,11 @@ OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
     "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "ipv4": rf"{OCTET}(?:\.{OCTET}){{3}}(?![\p{{L}}\p{{N}}]|\.\d)",
-    "date": r"(?:(?:19|20)\d\d(?:-\d\d-|/\d\d/)\d\d|\d\d(?:\.\d\d\.|/\d\d/)(?:19|20)\d\d)(?![\p{L}\p{N}])",
+    "date": (
+        r"(?:(?<!\d[.-])(?:19|20)\d\d-\d\d-\d\d|(?:19|20)\d\d/\d\d/\d\d"
+        r"|(?<!\d\.)\d\d\.\d\d\.(?:19|20)\d\d|\d\d/\d\d/(?:19|20)\d\d)"
+        r"(?:(?![\p{L}\p{N}])|(?=[Tt][0-2]\d|[Zz](?![\p{L}\p{N}])))"
+    ),
     "ssn": r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\p{L}\p{N}])",
     "phone": (
         r"(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[-.])\d{3}[ .-]\d{4}(?![\p{L}\p{N}])"
@@ -54,14 +65,23 @@ PATTERNS = {
     ),
     "iban": r"[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![\p{L}\p{N}])",
     "secret": (
-        r"(?<=(?i:password|passwd|token|secret|key)[ \t]{0,2}[=:][ \t]{0,2}[\x22\x27]?)"
+        r"(?<=[=: \t\x22\x27])(?<=(?i:password|passwd|token|secret|key)[ \t]{0,2}[=:][ \t]{0,2}[\x22\x27]?)"
         r"(?=[A-Za-z_+/=-]*+\d)[A-Za-z0-9_+/=-]{8,}(?![\p{L}\p{N}])"
     ),
 }
-# Tried in this order at the start of a run of letters and digits, or at a sign that opens a number.
-ANY = r"(?<![\p{L}\p{N}_%+]|[\p{L}\p{N}][.-])(?=[\p{L}\p{N}+(])(?:" + "|".join(
-    PATTERNS[k] for k in ("secret", "email", "ipv4", "date", "ssn", "phone", "card", "iban")
-) + ")"
+# What must not stand before a value of a kind, as it would be part of the same number or address.
+JOINED = r"(?<!\d[.-])"
+BEFORE = {
+    "email": r"(?:(?<![._%+-])|(?<![\p{L}\p{N}][._%+-]{1,8}))",
+    "ipv4": r"(?<!\d\.)",
+    "ssn": JOINED,
+    "phone": JOINED,
+    "card": JOINED,
+}
+# Tried in this order at the start of a run of letters and digits, or at a sign that opens a value.
+ANY = r"(?=[\p{L}\p{N}+(_/=-])(?:(?<![\p{L}\p{N}])(?:" + "|".join(
+    f"{BEFORE.get(k, '')}(?:{PATTERNS[k]})" for k in ("secret", "email", "ipv4", "date", "ssn", "phone", "card", "iban")
+) + rf")|(?<=\p{{L}})(?=[+(])(?:{PATTERNS['phone']}))"
 
 
 def hashed(key: str, *parts) -> Column:
@@ -203,6 +223,21 @@ def ssn(v: Column, key: str) -> Column:
     return filled(v, permuted_chars(only_digits(v), key, "ssn", (DIGITS,)))
 
 
+def late_day(place: Column, key: str, steps: int = 64) -> Column:
+    """A permutation of the days above 12 of their months: moved until the day is above 12 again.
+
+    A step fails two times in five, so that 64 in a row never do.
+    """
+    late = lambda p: F.dayofmonth(F.date_add(F.lit(FIRST_DAY), p.cast("int"))) > 12
+
+    def step(p: Column, i: Column) -> Column:
+        return F.when((i > 1) & late(p), p).otherwise(permuted_number(p, DAY_HALVES, key, "date"))
+
+    start = F.struct(place.cast("long").alias("p"), F.lit(1).alias("i"))
+    turn = lambda s, i: F.struct(step(s["p"], s["i"]).cast("long").alias("p"), (i + 1).alias("i"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, turn)["p"]
+
+
 def day(v: Column, key: str) -> Column:
     out = v
     for shape, form in (
@@ -210,11 +245,13 @@ def day(v: Column, key: str) -> Column:
         (r"^\d{4}/", "yyyy/MM/dd"),
         (r"^\d\d\.", "dd.MM.yyyy"),
         (r"^\d\d/", "dd/MM/yyyy"),
+        (r"^\d\d/(?:1[3-9]|2\d|3[01])/", "MM/dd/yyyy"),  # a day, so that it is no dd/MM/yyyy
     ):
         parsed = F.try_to_timestamp(v, F.lit(form)).cast("date")
         place = F.datediff(parsed, F.lit(FIRST_DAY))
         known = place.between(0, DAY_HALVES[0] * DAY_HALVES[1] - 1)
-        new = F.date_add(F.lit(FIRST_DAY), permuted_number(place.cast("long"), DAY_HALVES, key, "date").cast("int"))
+        moved = late_day(place, key) if form == "MM/dd/yyyy" else permuted_number(place.cast("long"), DAY_HALVES, key, "date")
+        new = F.date_add(F.lit(FIRST_DAY), moved.cast("int"))
         out = F.when(v.rlike(shape), F.when(known, F.date_format(new, form)).otherwise(v)).otherwise(out)
     return out
 
