@@ -10,6 +10,7 @@ from themeloom.llm import (  # noqa: F401
     token_counts,
     topk,
     toxicity,
+    url_filter,
     warc,
 )
 from themeloom.llm.common import ORACLES, QUERIES
