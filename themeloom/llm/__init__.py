@@ -2,6 +2,7 @@
 
 from themeloom.llm import (  # noqa: F401
     ann,
+    collocations,
     mixing,
     ngram_join,
     packing,
