@@ -3,6 +3,7 @@
 from themeloom.llm import (  # noqa: F401
     ann,
     collocations,
+    conversation_trie,
     mixing,
     ngram_join,
     packing,
