@@ -49,6 +49,32 @@ def test_top_k_large_numbers_and_odd_rows(spark):
     assert topk.top_k(df.limit(0), df.limit(0), 5).collect() == []
 
 
+@pytest.mark.parametrize("low", [27, 28, 29])
+def test_scores_beyond_double_precision(spark, low):
+    rng = np.random.default_rng(low)
+    X = rng.integers(2**low - 1000, 2**low + 1000, (40, 8)) * rng.choice([-1, 1], (40, 8))
+    X[:3, 1:] = 0
+    X[0, 0], X[1, 0] = 2**low + 1, 2**low + 3
+    ids = list(range(40))
+    df = spark.createDataFrame(list(zip(ids, X.tolist(), strict=True)), "vec_id long, v array<long>")
+    rows = topk.top_k(df, df, 5, bucket_rows=16, block_rows=8).collect()
+    assert got(rows) == brute(ids, X, ids, 5)
+    assert any(abs(s) > 2**53 and s % 2 for hits in got(rows).values() for _, s in hits)
+
+
+def test_products_are_exact_up_to_63_bits():
+    wide = np.full((1, 64), 2**28, dtype=np.int64)
+    wide[0, 0] = 2**29 + 1
+    assert topk.products(wide, wide)[0, 0] == sum(x * x for x in wide[0].tolist())
+    ones = np.ones((1, 3), dtype=np.int64)
+    assert topk.products(np.array([[2**62, 2**62 - 1, 0]]), ones)[0, 0] == 2**63 - 1
+    assert topk.products(np.array([[2**62, 2**62, -7]]), ones)[0, 0] == 2**63 - 7
+    assert topk.products(np.array([[-(2**62), -(2**62), 0]]), ones)[0, 0] == -(2**63)
+    topk.check_fit(ones[0], np.array([[2**62, 2**62 - 1, 0], [-(2**62), -(2**62), 0]]))
+    with pytest.raises(OverflowError):
+        topk.check_fit(ones[0], np.array([[2**62, 2**62, 0]]))
+
+
 def test_recall_on_the_table(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()
     ids = [r["vec_id"] for r in rows]

@@ -23,16 +23,35 @@ BLOCK_ROWS = 1_024
 FOCUS = 4
 COORDINATE_FROM = 0.7  # cosine from which coordinates prune better than norms
 EXACT = 2.0**53
+LONG = 2.0**63
 
 
 def products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """left @ right.T of whole numbers, exact: in double precision if every sum stays below 2^53."""
-    most = np.abs(left).max(initial=0) * np.abs(right).max(initial=0) * left.shape[1]
-    if most < EXACT:
-        return (left.astype(float) @ right.astype(float).T).astype(np.int64)
+    """left @ right.T of whole numbers, exact: in double precision if every sum stays below 2^53.
+
+    Beyond that in 64-bit integers, which are right whatever their parts are if the sum itself fits them.
+    """
+    a, b = left.astype(float), right.astype(float)
+    if _largest(a, b) < EXACT:
+        return (a @ b.T).astype(np.int64)
     return left.astype(np.int64) @ right.astype(np.int64).T
 
 
+def _largest(a: np.ndarray, b: np.ndarray) -> float:
+    return float(np.abs(a).max(initial=0.0)) * float(np.abs(b).max(initial=0.0)) * a.shape[-1]
+
+
+def check_fit(one: np.ndarray, others: np.ndarray) -> None:
+    """Stops at an inner product that does not fit a long."""
+    a, b = one.astype(float), others.astype(float)
+    most = _largest(a, b)
+    if most >= LONG / 2:
+        for j in np.flatnonzero(np.abs(b @ a) >= LONG - np.spacing(most) * len(one)):
+            score = sum(x * y for x, y in zip(one.tolist(), others[j].tolist(), strict=True))
+            if not -(2**63) <= score < 2**63:
+                raise OverflowError(f"the inner product {score} does not fit a long")
+
+
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k highest scores, ties to smaller ids."""
     if len(scores) > k:
@@ -45,6 +64,7 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 def search_bucket(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> list[tuple[int, int, int]]:
     """(query, vector, score) of the k best for each query in one bucket, but none that its floor rules out."""
+    vectors = vectors.sort_values("norm", ascending=False, kind="stable")
     Q, X = np.stack(queries["v"].to_numpy()), np.stack(vectors["v"].to_numpy())
     ids, floors = vectors["vec_id"].to_numpy(np.int64), queries["floor"].to_numpy(float)
     own = queries["vec_id"].to_numpy(np.int64)
@@ -58,9 +78,9 @@ def search_bucket(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> list[
     def take(i: int, at: np.ndarray, scores: np.ndarray) -> None:
         other = ids[at] != own[i]
         at, scores = at[other], scores[other]
+        check_fit(Q[i], X[at])
         out.extend((int(own[i]), int(ids[at[j]]), int(scores[j])) for j in best(scores, ids[at], k))
 
-    everything = np.arange(len(ids))
     by_coordinate = np.flatnonzero((cosine >= COORDINATE_FROM) & (cosine <= 1))
     if len(by_coordinate):
         unit = X / np.where(x_norm > 0, x_norm, 1.0)[:, None]
@@ -73,13 +93,16 @@ def search_bucket(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> list[
             at = np.flatnonzero(passed)
             if len(at):
                 take(i, at, products(Q[i : i + 1], X[at])[0])
+    # Vectors stand by falling norm: a query multiplies those up to the first that is too short for it.
     rest = np.flatnonzero(cosine < COORDINATE_FROM)
+    least = np.where(floors > 0, needed, -1.0) * (1 - 1e-9)
+    reach = np.searchsorted(-x_norm, -least, side="right")
+    rest = rest[np.argsort(reach[rest], kind="stable")]
     for j in range(0, len(rest), 128):
         some = rest[j : j + 128]
-        scores = products(Q[some], X)
+        scores = products(Q[some], X[: reach[some].max()])
         for i, row in zip(some, scores, strict=True):
-            long = x_norm >= needed[i] * (1 - 1e-9) if floors[i] > 0 else None
-            at = everything if long is None else np.flatnonzero(long)
+            at = np.arange(reach[i])
             take(i, at, row[at])
     return out
 
@@ -91,7 +114,8 @@ def top_k(
 
     Both tables have vec_id and v (array<long>); of queries that repeat an id the least vector counts. Null ids and vectors take no part, and neither do those
     of another dimension than most; an id that repeats is never its own partner. Ties go to smaller ids,
-    all candidates come if there are fewer than k, empty tables give no rows. Sums beyond 2^63 overflow.
+    all candidates come if there are fewer than k, empty tables give no rows. A score that does not fit a long
+    stops the job.
 
     A task holds a bucket and a block of queries, both bounded; equal vectors spread over buckets.
     """
