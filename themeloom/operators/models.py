@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import RFormula, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import GeneralizedLinearRegression
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.errors import UnsupportedOperationException
 from pyspark.sql import Column, DataFrame, Window
@@ -119,8 +122,11 @@ def sized(df: DataFrame, rows: int = ROWS_PER_PARTITION) -> DataFrame:
     return df.coalesce(df.count() // rows + 1)
 
 
-def _pipeline(features: Sequence[str], *stages) -> Pipeline:
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), *stages])
+def _pipeline(df: DataFrame, features: Sequence[str], stage) -> Pipeline:
+    """Features side by side in one vector; a single vector is taken as it is."""
+    if len(features) == 1 and isinstance(df.schema[features[0]].dataType, VectorUDT):
+        return Pipeline(stages=[stage.setFeaturesCol(features[0])])
+    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), stage])
 
 
 def fit_classifier(
@@ -128,13 +134,13 @@ def fit_classifier(
 ) -> PipelineModel | CrossValidatorModel:
     """Classifier of a 0/1 label.
 
-    kind: logit, rf (trees, mtry, weight), svm (cost), ridge or lasso (folds, points, id). Pass a cached
-    table: it is counted first and read once per iteration.
+    kind: logit, rf (trees, mtry, weight), svm (cost), ridge or lasso (folds, points, id). The features are
+    numbers, or one vector column. Pass a cached table: it is counted first and read once per iteration.
     """
     train = sized(train)
     if kind == "logit":
         stage = LogisticRegression(labelCol=label, regParam=0.0, maxIter=params.get("max_iter", 100))
-        return _pipeline(features, stage).fit(train)
+        return _pipeline(train, features, stage).fit(train)
     if kind == "rf":
         stage = RandomForestClassifier(
             labelCol=label,
@@ -146,11 +152,11 @@ def fit_classifier(
         )
         if params.get("weight"):
             stage = stage.setWeightCol(params["weight"])
-        return _pipeline(features, stage).fit(train)
+        return _pipeline(train, features, stage).fit(train)
     if kind == "svm":
         cost = params.get("cost", 10)
         stage = LinearSVC(labelCol=label, regParam=1.0 / (cost * train.count()), maxIter=params.get("max_iter", 100))
-        return _pipeline(features, stage).fit(train)
+        return _pipeline(train, features, stage).fit(train)
     if kind in ("ridge", "lasso"):
         return _cross_validated(kind, train, label, features, **params)
     raise ValueError(kind)
@@ -164,11 +170,27 @@ def _levels(df: DataFrame, feature: str) -> int:
 def lambda_path(df: DataFrame, label: str, features: Sequence[str], alpha: float, points: int) -> list[float]:
     """Falling penalties, from the one that puts all coefficients at zero down to a ten-thousandth of it."""
     y = F.col(label).cast("double")
-    strength = [F.abs(F.try_divide(F.covar_pop(F.col(c).cast("double"), y), F.stddev_pop(c))) for c in features]
-    top = df.agg(F.greatest(*strength, F.lit(0.0)).alias("top")).first().top / max(alpha, 0.001)
+    vectors = [c for c in features if isinstance(df.schema[c].dataType, VectorUDT)]
+    numbers = [c for c in features if c not in vectors]
+    strength = [F.abs(F.try_divide(F.covar_pop(F.col(c).cast("double"), y), F.stddev_pop(c))) for c in numbers]
+    highest = df.agg(F.greatest(*strength, F.lit(0.0), F.lit(0.0)).alias("top")).first().top
+    top = max([highest, *[_block_strength(df, y, c) for c in vectors]]) / max(alpha, 0.001)
     return [top * 10 ** (-4 * i / (points - 1)) for i in range(points)]
 
 
+def _block_strength(df: DataFrame, y: Column, block: str) -> float:
+    """The largest |covariance with the label| / deviation in a block; four arrays of its width reach the driver."""
+    parts = df.select(F.col(block).alias("x"), y.alias("y")).agg(
+        Summarizer.metrics("sum", "variance", "count").summary(F.col("x")).alias("all"),
+        Summarizer.metrics("sum").summary(F.col("x"), F.col("y")).alias("marked"),
+        F.avg("y").alias("share"),
+    ).first()
+    n = parts["all"]["count"]
+    cov = parts["marked"]["sum"].toArray() / n - parts["share"] * parts["all"]["sum"].toArray() / n
+    deviation = np.sqrt(parts["all"]["variance"].toArray() * (n - 1) / n)
+    return float(np.abs(np.divide(cov, deviation, out=np.zeros_like(cov), where=deviation > 0)).max(initial=0.0))
+
+
 def _cross_validated(
     kind: str, train: DataFrame, label: str, features: Sequence[str], folds: int = 5, points: int = 20, id: str = "id"
 ) -> CrossValidatorModel:
@@ -179,7 +201,7 @@ def _cross_validated(
     )
     grid = ParamGridBuilder().addGrid(stage.regParam, lambda_path(train, label, features, alpha, points)).build()
     validator = CrossValidator(
-        estimator=_pipeline(features, stage),
+        estimator=_pipeline(train, features, stage),
         estimatorParamMaps=grid,
         evaluator=MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy"),
         numFolds=folds,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeloom.functions import blank_to_null, to_fixed
-from themeloom.operators import cleaning, registry, reshape, text, themes
+from themeloom.operators import cleaning, registry, reshape, text, themes, word_features
 from themeloom.sources import cut_lineage, lookups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -265,6 +265,11 @@ def model_table(spark: SparkSession, sf: str) -> DataFrame:
     return cleaning.map_columns(flagged, MODEL_THEMES, lambda c: c.cast("double")).dropna("any")
 
 
+def training_table(spark: SparkSession, sf: str, cells: int = word_features.CELLS) -> DataFrame:
+    """Themes and words of each application in one sparse vector: twenty numbers, then the cells of the words."""
+    return word_features.assemble(model_table(spark, sf), all_counts_with_totals(spark, sf), MODEL_THEMES, cells=cells)
+
+
 # ---- SQL stand-ins ----
 
 
@@ -434,6 +439,18 @@ PARTS: dict[str, tuple[str, tuple[str, ...]]] = {
         ("counts",),
     ),
     "trimmed": ("SELECT c.* FROM counts c SEMI JOIN vocabulary v ON c.word = v.word", ("counts", "vocabulary")),
+    "word_weights": (
+        """SELECT c.id, c.word, c.n / a.total * ln(a.docs / d.df) AS tf_idf
+           FROM counts c JOIN (SELECT word, count(*) AS df FROM counts GROUP BY word) d ON d.word = c.word
+           JOIN (SELECT id, sum(n) AS total, count(*) OVER () AS docs FROM counts GROUP BY id) a ON a.id = c.id""",
+        ("counts",),
+    ),
+    "word_cells": (
+        f"""SELECT id, CAST(number // 2 AS INTEGER) AS celle, sum(CASE WHEN number % 2 = 0 THEN tf_idf ELSE -tf_idf END) AS verdi
+            FROM (SELECT *, ('0x' || substr(md5('{word_features.SEED}|' || word), 1, 8))::BIGINT % {2 * word_features.CELLS} AS number
+                  FROM word_weights) GROUP BY ALL""",
+        ("word_weights",),
+    ),
     "topics": (f"SELECT unnest([{sql_list(LANGS)}]) AS topic", ()),
     "theta": (
         """SELECT d.doc_id AS id, t.topic, CASE WHEN d.lang = t.topic THEN 0.7::DOUBLE ELSE 0.1::DOUBLE END AS p

@@ -7,7 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 
-from themeloom.operators import evaluation, models
+from themeloom.operators import evaluation, models, text, word_features
 from themeloom.plans import catalog as c
 from themeloom.plans.catalog import query
 from themeloom.sources import cut_lineage
@@ -23,9 +23,36 @@ def train_test_split(spark, sf):
     return train.withColumn("del", F.lit("trening")).unionByName(test.withColumn("del", F.lit("test")))
 
 
-@query("assemble_training", "SELECT * FROM model_table", ("model_table",))
+@query(
+    "word_cells",
+    "SELECT id, celle, round(verdi, 9) + 0.0 AS verdi FROM word_cells",
+    ("word_cells",),
+)
+def word_cells(spark, sf):
+    """The words of each text as signed sums of tf-idf in 65,536 cells."""
+    cells = word_features.word_cells(text.tf_idf(c.all_counts_with_totals(spark, sf), total="total"))
+    return cells.select("id", F.col("cell").alias("celle"), (F.round("value", 9) + 0.0).alias("verdi"))
+
+
+@query(
+    "assemble_training",
+    """SELECT m.*, coalesce(w.celler, 0) AS celler, round(coalesce(w.ordsum, 0), 6) + 0.0 AS ordsum, round(coalesce(w.ordvekt, 0), 6) AS ordvekt
+       FROM model_table m LEFT JOIN (SELECT id, count(*) AS celler, sum(verdi) AS ordsum, sum(verdi * verdi) AS ordvekt
+                                     FROM word_cells GROUP BY id) w USING (id)""",
+    ("model_table", "word_cells"),
+)
 def assemble_training(spark, sf):
-    return c.model_table(spark, sf)
+    """Themes and words of each application; of the words the number of cells, their sum and their sum of squares."""
+    parts = F.unwrap_udt("x")
+    words = F.slice(parts["values"], len(c.MODEL_THEMES) + 1, F.size(parts["values"]))
+    total = lambda f: F.aggregate(words, F.lit(0.0), f)
+    rows = c.training_table(spark, sf)
+    return rows.select(
+        *[name for name in rows.columns if name != "x"],
+        (F.size(parts["indices"]) - len(c.MODEL_THEMES)).cast("long").alias("celler"),
+        (F.round(total(lambda a, x: a + x), 6) + 0.0).alias("ordsum"),
+        F.round(total(lambda a, x: a + x * x), 6).alias("ordvekt"),
+    )
 
 
 @query(
@@ -149,11 +176,17 @@ def _split(spark, sf):
     return train.persist(), test
 
 
+def _split_with_words(spark, sf, cells=word_features.CELLS):
+    train, test = models.train_test_split(c.training_table(spark, sf, cells))
+    return train.persist(), test
+
+
 def _classifier(name: str, kind: str, **params) -> None:
     @query(name)
     def run(spark, sf):
-        train, test = _split(spark, sf)
-        model = models.fit_classifier(kind, train, "label", c.MODEL_THEMES, **params)
+        """Scores of the test rows from themes and words."""
+        train, test = _split_with_words(spark, sf)
+        model = models.fit_classifier(kind, train, "label", ["x"], **params)
         train.unpersist()
         return models.score(model, test, "label").withColumn("score", F.round("score", 6))
 
@@ -166,9 +199,9 @@ _classifier("clf_lasso", "lasso", points=6, folds=5)
 
 @query("clf_rf")
 def clf_rf(spark, sf):
-    train, test = _split(spark, sf)
+    train, test = _split_with_words(spark, sf, word_features.FOREST_CELLS)
     weighted = models.with_class_weight(train, "label")
-    model = models.fit_classifier("rf", weighted, "label", c.MODEL_THEMES, weight="vekt", **FOREST)
+    model = models.fit_classifier("rf", weighted, "label", ["x"], weight="vekt", **FOREST)
     return models.score(model, test, "label").withColumn("score", F.round("score", 6))
 
 

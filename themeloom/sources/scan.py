@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,3 +134,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     optimizer knows their size. Like checkpoints, the files stay until the folder is cleaned.
     """
     return save_stage(df, f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}")
+
+
+def save_vectors(df: DataFrame, vectors: Mapping[str, T.UserDefinedType]) -> DataFrame:
+    """Like cut_lineage, for columns that hold the fields of ML vectors: they are vectors when read again."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    fields = [T.StructField(f.name, vectors.get(f.name, f.dataType)) for f in df.schema.fields]
+    return df.sparkSession.read.schema(T.StructType(fields)).parquet(path)
