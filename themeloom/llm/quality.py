@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.llm.common import Stages, free_name, query, table
+from themeloom.llm.calibration import isotonic
 from themeloom.llm.toxicity import is_held_out
 
 FEATURES = 256
@@ -178,18 +179,6 @@ def solve(sums: np.ndarray, ridge: float) -> np.ndarray:
     return np.linalg.solve(sums[:, :size] + shrink, sums[:, size])
 
 
-def isotonic(scores: np.ndarray, counts: np.ndarray, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators over rising scores: middles of the pools and their smoothed shares."""
-    pools: list[list[float]] = []
-    for s, n, h in zip(scores, counts, hits, strict=True):
-        pools.append([s * n, n, h])
-        while len(pools) > 1 and pools[-2][2] * pools[-1][1] >= pools[-1][2] * pools[-2][1]:
-            last = pools.pop()
-            pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
-    sums, n, h = np.array(pools).T
-    return sums / n, np.maximum.accumulate((h + 0.5) / (n + 1))
-
-
 def train(measured: DataFrame, features: int = FEATURES, width: float = WIDTH, ridge: float = RIDGE, folds: int = FOLDS, seed: int = SEED) -> QualityModel | float:
     """A model from (doc_id, statistics, y) with y 0 or 1; with one class or none, the smoothed share.
 

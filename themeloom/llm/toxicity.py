@@ -5,7 +5,9 @@ misspelling that was never seen shares most of them. A window of words is the me
 linear softmax sits on top; vectors and softmax are trained together in numpy on a bounded sample of the
 labelled rows. Averaging a whole long text would drown a few words, so a text is scored by its worst
 window. Training starts with whole texts and goes on with the window of each text that looks worst so
-far. As everything behind the vectors is linear, a trained model is one number for each bucket.
+far. As everything behind the vectors is linear, a trained model is one number for each bucket, and so is the
+mean of several: some models leave out each labelled text, and an isotonic curve over what these say of
+it turns logits into scores.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from themeloom.llm.calibration import isotonic
 from themeloom.llm.common import free_name, query, table
 
 BUCKETS = 1 << 18
@@ -29,6 +32,10 @@ MAX_TOXIC = 2_500  # labelled rows to learn from, at most
 MAX_CLEAN = 5_000
 MAX_CHARS = 20_000  # longer texts are not learned from (all are scored, whole)
 SEED = 7
+FOLDS = 3  # parts of the rows; each is left to the calibration by one model of each repeat
+REPEATS = 2  # of the split into parts; all models are averaged
+ROUNDS = 8  # searches for the worst windows while training
+CURVE = 0.001  # part of the logistic curve in a score
 CACHED_WORDS = 400_000
 
 WORDS = re.compile(r"\w+")
@@ -67,6 +74,7 @@ class ToxicityModel:
     window: int
     constant: float | None = None
     name: str = ""
+    steps: tuple[np.ndarray, np.ndarray] | None = None
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         at, found = grams(words, len(self.scores))
@@ -75,7 +83,9 @@ class ToxicityModel:
     def probability(self, logit: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(logit), self.constant)
-        return 1 / (1 + np.exp(-np.clip(self.slope * logit + self.shift, -30, 30)))
+        curve = 1 / (1 + np.exp(-np.clip(self.slope * logit + self.shift, -30, 30)))
+        # Shares have plains; a little of the curve keeps the order on them.
+        return curve if self.steps is None else (1 - CURVE) * np.interp(logit, *self.steps) + CURVE * curve
 
 
 def worst_window(scores: np.ndarray, window: int) -> tuple[int, float]:
@@ -155,38 +165,64 @@ def fit(texts: list[str], labels: list[int], shares: tuple[float, float], window
     starts = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(vocabulary)))))
     gram_counts = np.diff(starts)
     some = [i for i, d in enumerate(docs) if len(d)]
-    # The last fifth is kept for calibration.
     rng.shuffle(some)
-    tuned, used = some[: len(some) // 5], some[len(some) // 5 :]
-    trainer = _Trainer(starts, found, rng)
-    class_weight = np.array([1.0 / max(1, (y == 0).sum()), 1.0 / max(1, (y == 1).sum())]) * len(y) / 2
+    members, unseen = [], {i: [] for i in some}
+    splits = [[]]
+    if len(some) >= 2 * FOLDS:
+        orders = [rng.permutation(some) for _ in range(REPEATS)]
+        splits = [order[k::FOLDS].tolist() for order in orders for k in range(FOLDS)]
+    for k, held in enumerate(splits):
+        used = sorted(set(some) - set(held))
+        by_bucket, bias = _train_member(docs, y, used, starts, found, window, np.random.default_rng([seed, k]))
+        by_word = np.add.reduceat(by_bucket[found], starts[:-1]) / gram_counts
+        for i in held or used:
+            unseen[i].append(by_word[docs[i]])
+        members.append((by_bucket, bias))
+    # The mean of linear models is a linear model; the curve comes from texts that some members have not seen.
+    mean_bias = float(np.mean([b for _, b in members]))
+    logits = np.array([worst_window(np.mean(unseen[i], axis=0), window)[1] + mean_bias for i in some])
+    slope, shift = calibrate(logits, y[some], shares)
+    steps = risen_shares(logits, y[some], shares)
+    scores = np.mean([m for m, _ in members], axis=0)
+    bias = float(np.mean([b for _, b in members]))
+    return ToxicityModel(scores.astype(np.float32), bias, slope, shift, window, None, f"{seed}-{hash(scores.tobytes())}", steps)
+
+
+def risen_shares(logits: np.ndarray, y: np.ndarray, shares: tuple[float, float]) -> tuple[np.ndarray, np.ndarray] | None:
+    """Rising logits and the smoothed shares of toxic texts around them, classes weighted as frequent as they are."""
+    n = np.array([(y == 0).sum(), (y == 1).sum()])
+    if not n.all():
+        return None
+    order = np.argsort(logits, kind="stable")
+    weight = (np.array(shares) / n * len(y))[y[order]]
+    return isotonic(logits[order], weight, weight * y[order])
 
-    def word_scores() -> tuple[np.ndarray, float]:
-        by_bucket, bias = trainer.scores()
-        return np.add.reduceat(by_bucket[found], starts[:-1]) / gram_counts, bias
 
+def _train_member(
+    docs: list[np.ndarray], y: np.ndarray, used: list[int], starts: np.ndarray, found: np.ndarray, window: int, rng: np.random.Generator
+) -> tuple[np.ndarray, float]:
+    """A number for each bucket, and the bias, from the used texts."""
+    gram_counts = np.diff(starts)
+    trainer = _Trainer(starts, found, rng)
+    marks = y[used]
+    class_weight = np.array([1.0 / max(1, (marks == 0).sum()), 1.0 / max(1, (marks == 1).sum())]) * len(marks) / 2
     whole = [np.unique(docs[i]) for i in used]
     for _ in range(2):
-        trainer.epoch(whole, y[used], class_weight[y[used]], 64)
-    for _ in range(8):
-        by_word, _ = word_scores()
-        bags, marks = [], []
+        trainer.epoch(whole, marks, class_weight[marks], 64)
+    for _ in range(ROUNDS):
+        by_word = np.add.reduceat(trainer.scores()[0][found], starts[:-1]) / gram_counts
+        bags, labels = [], []
         for i in used:
             start, _ = worst_window(by_word[docs[i]], window)
             bags.append(docs[i][start : start + window])
-            marks.append(y[i])
+            labels.append(y[i])
             if y[i] == 0:
                 start = int(rng.integers(0, max(1, len(docs[i]) - window + 1)))
                 bags.append(docs[i][start : start + window])
-                marks.append(0)
-        marks = np.array(marks)
+                labels.append(0)
         for _ in range(2):
-            trainer.epoch(bags, marks, np.ones(len(marks)), 256)
-    by_word, bias = word_scores()
-    logits = np.array([worst_window(by_word[docs[i]], window)[1] + bias for i in tuned or used])
-    slope, shift = calibrate(logits, y[tuned or used], shares)
-    scores, bias = trainer.scores()
-    return ToxicityModel(scores.astype(np.float32), bias, slope, shift, window, None, f"{seed}-{hash(scores.tobytes())}")
+            trainer.epoch(bags, np.array(labels), np.ones(len(labels)), 256)
+    return trainer.scores()
 
 
 def calibrate(logits: np.ndarray, y: np.ndarray, shares: tuple[float, float], rounds: int = 50) -> tuple[float, float]:
