@@ -149,3 +149,18 @@ def test_reduction_fixes_only_dominating_sets():
     assert plan.sequences == 3
     assert packing.Plan({}, 10).sequences == 0
     assert packing.Plan({1: 25}, 10).sequences == 3
+
+
+@pytest.mark.parametrize("batch_bytes", [1, 50, 1000, 10**9])
+def test_batches_are_balanced_by_bytes(batch_bytes):
+    texts = ["å" * 40, "日本" * 30, "plain " * 20, "", "x", "😀" * 25] * 7
+    sizes = [len(t.encode()) for t in texts]
+    batches = token_counts.balanced(sizes, batch_bytes)
+    assert sorted(i for b in batches for i in b) == list(range(len(texts)))
+    wanted = -(-sum(sizes) // batch_bytes)
+    loads = [sum(sizes[i] for i in b) for b in batches]
+    assert len(batches) <= wanted and max(loads) <= sum(sizes) / wanted + max(sizes)
+    seen = []
+    count = lambda part: seen.append(part) or [len(t) for t in part]
+    assert token_counts.in_batches(texts, lambda t: [t[:10], t[10:]], count, batch_bytes) == [len(t) for t in texts]
+    assert sum(len(b) for b in seen) == 2 * len(texts) and token_counts.balanced([], 10) == []

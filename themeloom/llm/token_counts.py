@@ -2,12 +2,13 @@
 
 Texts come in Arrow batches that Spark bounds in bytes. Within one, texts are cut at safe boundaries
 into parts of at most about `part_chars` characters, the parts are dealt into batches of about
-`batch_chars`, and each batch is encoded in one call, so one long text neither holds up nor swells a
+`batch_bytes`, and each batch is encoded in one call, so one long text neither holds up nor swells a
 batch. Only the lengths leave the function.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Callable, Iterator
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from themeloom.llm.common import free_name, query, table
 
 PART_CHARS = 16_384
-BATCH_CHARS = 262_144
+BATCH_BYTES = 262_144
 SPACE = "▁"
 
 _encoders: dict[tuple, Callable] = {}  # by path, kept for the life of a Python worker
@@ -47,10 +48,10 @@ def piece_encoder(path: str) -> Callable[[list[str]], list[int]]:
     )
     processor = sentencepiece.SentencePieceProcessor(model_file=path)
 
-    def lengths(texts: list[str], part_chars: int, batch_chars: int) -> list[int]:
+    def lengths(texts: list[str], part_chars: int, batch_bytes: int) -> list[int]:
         cut = (lambda t: cut_before_spaces(t, part_chars)) if safe else (lambda t: [t])
         encode = lambda batch: map(len, processor.encode(batch, num_threads=1))
-        return in_batches(texts, cut, encode, batch_chars)
+        return in_batches(texts, cut, encode, batch_bytes)
 
     return lengths
 
@@ -73,29 +74,27 @@ def cut_before_spaces(text: str, part_chars: int) -> list[str]:
     return parts
 
 
-def in_batches(texts: list[str], cut: Callable, encode: Callable, batch_chars: int) -> list[int]:
-    """Cuts the texts, encodes the parts in batches of about batch_chars, and adds up by text."""
+def balanced(sizes: list[int], batch_bytes: int) -> list[list[int]]:
+    """Indices in as many batches as batch_bytes asks for, the largest first into the lightest batch.
+
+    No batch holds more than the mean and the largest item together.
+    """
+    loads = [(0, k) for k in range(-(-sum(sizes) // batch_bytes) or 1)]
+    batches: list[list[int]] = [[] for _ in loads]
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        load, k = heapq.heappop(loads)
+        batches[k].append(i)
+        heapq.heappush(loads, (load + sizes[i], k))
+    return [b for b in batches if b]
+
+
+def in_batches(texts: list[str], cut: Callable, encode: Callable, batch_bytes: int) -> list[int]:
+    """Cuts the texts, encodes the parts in batches of about batch_bytes of UTF-8, and adds up by text."""
     totals = [0] * len(texts)
-    owners: list[int] = []
-    batch: list[str] = []
-    size = 0
-
-    def flush() -> None:
-        for owner, n in zip(owners, encode(batch), strict=True):
-            totals[owner] += n
-        owners.clear()
-        batch.clear()
-
-    for i, text in enumerate(texts):
-        for part in cut(text):
-            owners.append(i)
-            batch.append(part)
-            size += len(part)
-            if size >= batch_chars:
-                flush()
-                size = 0
-    if batch:
-        flush()
+    parts = [(i, part) for i, text in enumerate(texts) for part in cut(text)]
+    for batch in balanced([len(part.encode("utf-8", "surrogatepass")) for _, part in parts], batch_bytes):
+        for j, n in zip(batch, encode([parts[j][1] for j in batch]), strict=True):
+            totals[parts[j][0]] += n
     return totals
 
 
@@ -107,9 +106,9 @@ def json_encoder(path: str) -> Callable:
     tokenizer.no_truncation()
     tokenizer.no_padding()
 
-    def lengths(texts: list[str], part_chars: int, batch_chars: int) -> list[int]:
+    def lengths(texts: list[str], part_chars: int, batch_bytes: int) -> list[int]:
         encode = lambda batch: [len(e.ids) for e in tokenizer.encode_batch(batch, add_special_tokens=False)]
-        return in_batches(texts, lambda t: [t], encode, batch_chars)
+        return in_batches(texts, lambda t: [t], encode, batch_bytes)
 
     return lengths
 
@@ -127,7 +126,7 @@ def count_tokens(
     text: str = "text",
     out: str = "n_tokens",
     part_chars: int = PART_CHARS,
-    batch_chars: int = BATCH_CHARS,
+    batch_bytes: int = BATCH_BYTES,
 ) -> DataFrame:
     """All columns but the text, with the number of tokens of each whole text; no shuffle.
 
@@ -144,7 +143,7 @@ def count_tokens(
         lengths = encoder(model_path)
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            counts = pa.array(lengths(texts, part_chars, batch_chars), pa.int64())
+            counts = pa.array(lengths(texts, part_chars, batch_bytes), pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], counts], [*kept, out])
 
     return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`")).mapInArrow(run, schema)
