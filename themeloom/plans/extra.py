@@ -166,7 +166,29 @@ def accuracy_interval(spark, sf):
     low, high = evaluation.accuracy_interval(hits, n)
     wide = evaluation.accuracy_interval(hits // 2, n // 2)
     inside = low <= hits / n <= high and high - low < wide[1] - wide[0]
-    return spark.createDataFrame([(round(hits / n, 6), bool(inside), low, high)], "treffsikkerhet double, innenfor boolean, lav double, hoy double").drop("lav", "hoy")
+    return spark.createDataFrame([(round(hits / n, 6), bool(inside))], "treffsikkerhet double, innenfor boolean")
+
+
+def _bound_sql(first: str, last: str, rises: str) -> str:
+    """Bisection for the share at which a tail of the binomial distribution, from first to last, holds 2.5 %."""
+    tail = f"list_sum(list_transform(range({first}, {last}), lambda k: exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln((s.lo + s.hi) / 2) + (n - k) * ln(1 - (s.lo + s.hi) / 2))))"
+    zeros = "list_transform(range(50), lambda i: {'lo': 0.0::DOUBLE, 'hi': 0.0::DOUBLE})"
+    step = f"CASE WHEN {tail} {rises} 0.025 THEN {{'lo': (s.lo + s.hi) / 2, 'hi': s.hi}} ELSE {{'lo': s.lo, 'hi': (s.lo + s.hi) / 2}} END"
+    return f"round(list_reduce(list_prepend({{'lo': 0.0::DOUBLE, 'hi': 1.0::DOUBLE}}, {zeros}), lambda s, x: {step}).lo, 6)"
+
+
+@query(
+    "accuracy_bounds",
+    f"""SELECT round(hits / n, 6) AS treffsikkerhet, {_bound_sql("hits", "n + 1", "<")} AS nedre, {_bound_sql("0", "hits + 1", ">")} AS ovre
+        FROM (SELECT CAST(count(*) FILTER ((score > 50) = (label = 1)) AS BIGINT) AS hits, count(*) AS n FROM scores WHERE score IS NOT NULL)""",
+    ("scores",),
+)
+def accuracy_bounds(spark, sf):
+    """Accuracy with the bounds of its exact interval."""
+    cells = {(r.klasse, r.label): r.n for r in modelling.confusion_matrix(spark, sf).collect()}
+    hits, n = cells.get((1, 1), 0) + cells.get((0, 0), 0), sum(cells.values())
+    low, high = evaluation.accuracy_interval(hits, n)
+    return spark.createDataFrame([(round(hits / n, 6), round(low, 6), round(high, 6))], "treffsikkerhet double, nedre double, ovre double")
 
 
 @query(
