@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from themeloom.operators import forests, models
+from themeloom.operators import dependence, forests, models
 
 TREES = 12
 
@@ -90,3 +90,29 @@ def test_rows_without_label_and_few_rows(spark):
     votes = forests.oob_votes(few, frame, "label").where("label IS NULL")
     assert votes.where(F.col("votes_0") + F.col("votes_1") == 3).count() == 10
     assert forests.draws(frame.limit(0), "label", 3).count() == 0
+
+
+def test_dependence_is_that_of_rows_with_the_value_set(planted, forest):
+    X = np.array([[r.x, r.z, r.k_ix] for r in planted.select("x", "z", "k_ix").collect()])
+    found = dependence.dependence(forest, planted, points=7).collect()
+    assert Counter(r.variabel for r in found) == {"x": 7, "z": 7, "k_ix": 3}
+    assert {r.niva for r in found} == {"a", "b", "c", None}
+    for r in found:
+        fixed = X.copy()
+        fixed[:, forest.features.index(r.variabel)] = r.x
+        assert r.andel == pytest.approx(np.mean([t.classes(fixed) for t in forest.trees]), abs=1e-12)
+
+
+def test_leaves_hold_every_row_once(planted, forest):
+    reach = dependence.leaf_reach(forest, planted).where(F.col("f") == dependence.STAYS)
+    assert {(r.tree, r.n) for r in reach.groupBy("tree").agg(F.sum("n").alias("n")).collect()} == {(t, 900) for t in range(TREES)}
+
+
+def test_dependence_of_repeated_rows_own_grid_and_no_rows(planted, forest):
+    grid = {"x": [-100.0, 0.0, 100.0]}
+    once = dependence.dependence(forest, planted, grid).collect()
+    assert [(r.variabel, r.x) for r in once] == [("x", -100.0), ("x", 0.0), ("x", 100.0)]
+    assert once[0].andel < once[2].andel
+    assert dependence.dependence(forest, planted.union(planted), grid).collect() == once
+    assert dependence.dependence(forest, planted.limit(0), grid).collect() == []
+    assert dependence.dependence(forest, planted.limit(0)).count() == 0

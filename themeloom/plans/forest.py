@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from themeloom.operators import evaluation, forests, models
+from themeloom.operators import dependence, evaluation, forests, models
 from themeloom.plans import catalog as c
 from themeloom.plans import extra, modelling
 from themeloom.plans.catalog import query
@@ -118,3 +118,45 @@ def industry_oob_cells(spark, sf):
 @query("industry_oob_importance")
 def industry_oob_importance(spark, sf):
     return forests.oob_importance(*_industry_forest(spark, sf), "label")
+
+
+# ---- dependence on every variable ----
+
+
+@query("forest_leaf_rows", f"SELECT tree, count(*) AS n FROM ({KNOWN}), (SELECT unnest(range({TREES})) AS tree) GROUP BY tree", ("analysis",))
+def forest_leaf_rows(spark, sf):
+    """The leaves of each tree hold every known application once."""
+    reach = dependence.leaf_reach(*_outcome_forest(spark, sf))
+    return reach.where(F.col("f") == dependence.STAYS).groupBy("tree").agg(F.sum("n").alias("n"))
+
+
+@query("outcome_dependence")
+def outcome_dependence(spark, sf):
+    """Share of votes for a grant along all themes and attributes of the firm, from one scan."""
+    curves = dependence.dependence(*_outcome_forest(spark, sf))
+    return curves.withColumns({"x": F.round("x", 6), "andel": F.round("andel", 6)})
+
+
+@query("industry_dependence")
+def industry_dependence(spark, sf):
+    """The same along the second set of themes."""
+    curves = dependence.dependence(*_industry_forest(spark, sf))
+    return curves.withColumns({"x": F.round("x", 6), "andel": F.round("andel", 6)})
+
+
+DECILES = [i / 10 for i in range(11)]
+NUMBERS = [(t, t) for t in c.MERGED] + [(x, f"coalesce(CAST({x} AS DOUBLE), (SELECT quantile_cont(CAST({x} AS DOUBLE), 0.5) FROM analysis WHERE utfall IS NOT NULL))") for x in ("syss", "alder")]
+
+
+@query(
+    "outcome_dependence_grid",
+    " UNION ALL ".join(
+        f"SELECT DISTINCT '{name}' AS variabel, round(x, 6) AS x FROM (SELECT unnest(quantile_cont(CAST({value} AS DOUBLE), {DECILES})) AS x FROM analysis WHERE utfall IS NOT NULL)"
+        for name, value in NUMBERS
+    ),
+    ("analysis",),
+)
+def outcome_dependence_grid(spark, sf):
+    """The curves have a point at every different decile of a number."""
+    curves = outcome_dependence(spark, sf)
+    return curves.where(F.col("niva").isNull()).select("variabel", "x")
