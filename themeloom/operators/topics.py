@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -17,9 +18,12 @@ from pyspark.sql import functions as F
 from themeloom.functions import digest_number
 from themeloom.operators.joins import attach, equi_join
 from themeloom.operators.reshape import to_long, vectors_to_long
+from themeloom.sources.scan import cut_lineage
 
-MAX_BETA_CELLS = 1 << 26
 DENSE_CELLS = 1 << 22
+GROUP_CELLS = 1 << 22  # shares of documents, or probabilities of words, in one group of a task
+SERIES_CELLS = 200_000  # topic moments of one power
+MAX_ORDER = 8
 
 
 def fit_topics(
@@ -83,10 +87,14 @@ def cell_rates(dtm: DataFrame, theta: DataFrame, beta: DataFrame, id: str = "id"
     Topics are packed into one array per document and word, so rows are not multiplied by topics.
     """
     topics = topic_list(beta)
-    with_word = attach(dtm, _packed(beta, "word", "_beta", topics), ["word"], "inner")
-    both = with_word.join(_packed(theta, id, "_theta", topics), id)
+    return _with_rates(dtm, _packed(theta, id, "_theta", topics), _packed(beta, "word", "_beta", topics), id)
+
+
+def _with_rates(dtm: DataFrame, shares: DataFrame, words: DataFrame, id: str, keep: bool = False) -> DataFrame:
+    """Adds q from the packed shares of the document and probabilities of the word; keep: the shares stay."""
+    both = attach(dtm, words, ["word"], "inner").join(shares, id)
     products = F.zip_with("_theta", "_beta", lambda t, b: t * b)
-    return both.withColumn("q", F.aggregate(products, F.lit(0.0), lambda a, x: a + x)).drop("_theta", "_beta")
+    return both.withColumn("q", F.aggregate(products, F.lit(0.0), lambda a, x: a + x)).drop("_beta", *([] if keep else ["_theta"]))
 
 
 def heldout_likelihood(heldout: DataFrame, theta: DataFrame, beta: DataFrame, id: str = "id") -> DataFrame:
@@ -159,48 +167,165 @@ def exclusivity(beta: DataFrame, m: int = 10, w: float = 0.7) -> DataFrame:
     return leading.groupBy("topic").agg(F.round(F.sum("frex"), 6).alias("exclusivity"))
 
 
+@lru_cache
+def _picks(k: int, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each power after the first: the column of the power before, and the topic that multiplies it."""
+    steps, last = [], np.arange(k)
+    for _ in range(order - 1):
+        at = np.repeat(np.arange(len(last)), k - last)
+        by = np.concatenate([np.arange(e, k) for e in last])
+        steps.append((at, by))
+        last = by
+    return steps
+
+
+def _monomials(shares: np.ndarray, order: int) -> Iterator[np.ndarray]:
+    """Per row the products of 1, 2, ... order shares, one column for each choice of topics in rising order."""
+    level = shares
+    yield level
+    for at, by in _picks(shares.shape[1], order):
+        level = level[:, at] * shares[:, by]
+        yield level
+
+
+def _times_drawn(k: int, order: int) -> Iterator[np.ndarray]:
+    """In how many orders the topics of each column of `_monomials` can be drawn."""
+    runs = [(t, 1, 1.0) for t in range(k)]  # last topic, how often it came at the end, orders
+    for size in range(1, order + 1):
+        if size > 1:
+            runs = [
+                (t, c + 1 if t == e else 1, m * size / (c + 1 if t == e else 1))
+                for e, c, m in runs
+                for t in range(e, k)
+            ]
+        yield np.array([m for _, _, m in runs])
+
+
+def series_order(k: int, cells: int = SERIES_CELLS) -> int:
+    """The highest power whose topic moments are at most the given number."""
+    order = 1
+    while order < MAX_ORDER and math.comb(k + order, order + 1) <= cells:
+        order += 1
+    return order
+
+
+def _moments(words: DataFrame, k: int, order: int) -> list[np.ndarray]:
+    """Sums over the words of products of 1 to order word probabilities, times the orders they can be drawn in."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: list = [0.0] * order
+        step = max(1, DENSE_CELLS // math.comb(k + order - 1, order))
+        for batch in batches:
+            for start in range(0, len(batch), step):
+                beta = np.stack(batch["_beta"].iloc[start : start + step].to_list())
+                sums = [s + level.sum(axis=0) for s, level in zip(sums, _monomials(beta, order), strict=True)]
+        for power, values in enumerate(sums):
+            values = np.atleast_1d(values)
+            yield pd.DataFrame({"power": power, "at": np.arange(len(values)), "x": values})
+
+    parts = words.mapInPandas(run, "power int, at int, x double").groupBy("power", "at").agg(F.sum("x").alias("x"))
+    found = [np.zeros(math.comb(k + r - 1, r)) for r in range(1, order + 1)]
+    for r in parts.collect():  # at most SERIES_CELLS for each power
+        found[r.power][r.at] = r.x
+    return [m * times for m, times in zip(found, _times_drawn(k, order), strict=True)]
+
+
+def _zero_cells(docs: DataFrame, words: DataFrame, k: int, tol: float, rest: float) -> DataFrame:
+    """One row (d, cells): sums over documents and all words of m q / (1 - q), and of cells with m q > tol.
+
+    docs is (m, _theta) and words (word, _beta, _top, _block), both stored; _top is the largest probability of the word
+    in any topic, and the blocks are cut in the order of _top.
+
+    q / (1 - q) is the power series q + q^2 + ..., and a power summed over words is a sum over topic moments. Words
+    whose _top exceeds rest^(1 / order) are left out of the moments and summed one by one: at most k / rest^(1 / order)
+    of them. For the others the powers beyond the order add less than rest * m / (1 - rest^(1 / order)) to a document.
+
+    A cell can only exceed tol where _top > tol / m, which holds for at most k m / tol words. Documents of like length
+    meet the blocks of words, sorted by _top, that can; neither side is ever whole in a task.
+    """
+    order = series_order(k)
+    head = rest ** (1 / order)
+    tail = _moments(words.where(F.col("_top") <= head), k, order)
+    shared = docs.sparkSession.sparkContext.broadcast(tail)  # at most order * SERIES_CELLS numbers
+
+    def series(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step = max(1, DENSE_CELLS // len(shared.value[-1]))
+        for batch in batches:
+            for start in range(0, len(batch), step):
+                part = batch.iloc[start : start + step]
+                levels = _monomials(np.stack(part["_theta"].to_list()), order)
+                total = sum(level @ m for level, m in zip(levels, shared.value, strict=True))
+                yield pd.DataFrame({"d": [float((total * part["m"].to_numpy()).sum())], "cells": [0]})
+
+    # Lengths within a factor of two share a class; each class is cut into groups of about GROUP_CELLS shares.
+    classed = docs.withColumn("_size", F.floor(F.log2("m")).cast("int"))
+    sizes = classed.groupBy("_size").agg(F.count(F.lit(1)).alias("n"), F.max("m").alias("_most")).collect()
+    if not sizes:
+        return docs.sparkSession.createDataFrame([(0.0, 0)], "d double, cells long")
+    groups, least = F.lit(1), F.lit(0.0)
+    for r in sizes:  # one for each power of two
+        groups = F.when(F.col("_size") == r["_size"], r.n * k // GROUP_CELLS + 1).otherwise(groups)
+        least = F.when(F.col("_size") == r["_size"], min(head, tol / r["_most"])).otherwise(least)
+    placed = classed.withColumn("_group", F.pmod(F.xxhash64("m", "_theta", F.monotonically_increasing_id()), groups))
+    placed = placed.select("m", "_theta", "_size", "_group", least.alias("_least"))
+    tops = words.groupBy("_block").agg(F.max("_top").alias("_block_top"))  # one for each block
+    listed = F.array(*[F.struct(F.lit(r["_block"]).alias("b"), F.lit(r["_block_top"]).alias("t")) for r in tops.collect()])
+    met = F.transform(F.filter(listed, lambda x: x["t"] > F.col("_least")), lambda x: x["b"])
+    left = placed.withColumn("_block", F.explode(met))
+    meet = F.explode(F.array(*[F.struct(F.lit(r["_size"]).alias("s"), F.lit(r.n * k // GROUP_CELLS).cast("long").alias("g"), F.lit(min(head, tol / r["_most"])).alias("l")) for r in sizes])).alias("_c")
+    right = words.select("*", meet).where(F.col("_top") > F.col("_c.l")).select(
+        "_beta", "_top", "_block", F.col("_c.s").alias("_size"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_c.g"))).alias("_group")
+    )
+
+    def dense(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        d, cells = 0.0, 0
+        if len(docs) and len(words):
+            words = words.sort_values("_top", ascending=False)
+            top = words["_top"].to_numpy()
+            beta = np.stack(words["_beta"].to_list()).T
+            heads = int((top > head).sum())
+            docs = docs.sort_values("m")
+            m, theta = docs["m"].to_numpy(), np.stack(docs["_theta"].to_list())
+            step = max(1, DENSE_CELLS // len(top))
+            for start in range(0, len(m), step):
+                some = m[start : start + step, None]
+                reach = max(heads, int((top > tol / some.max()).sum()))
+                rate = theta[start : start + step] @ beta[:, :reach]
+                cells += int((rate * some > tol).sum())
+                d += float((some * rate[:, :heads] / (1 - rate[:, :heads])).sum())
+        return pd.DataFrame({"d": [d], "cells": [cells]})
+
+    keys = ["_size", "_group", "_block"]
+    met = left.drop("_least").groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(dense, "d double, cells long")
+    parts = docs.mapInPandas(series, "d double, cells long").unionAll(met)
+    return parts.agg(F.sum("d").alias("d"), F.sum("cells").alias("cells"))
+
+
 def residual_dispersion(
-    dtm: DataFrame, theta: DataFrame, beta: DataFrame, tol: float = 0.01, id: str = "id"
+    dtm: DataFrame, theta: DataFrame, beta: DataFrame, tol: float = 0.01, id: str = "id", rest: float = 1e-9
 ) -> DataFrame:
     """One row: dispersion of the squared standardised residuals of all document-word cells.
 
-    Observed cells are summed as rows. The cells with a zero count are never made into rows: they are
-    summed inside each task from the document's topic shares and the word probabilities, a few
-    documents at a time.
+    Observed cells are summed as rows. The cells with a zero count are never made into rows: their sum comes
+    from moments of the topics, to within about `rest` for each word of a document, and the cells that count as
+    degrees of freedom (expected count above tol) from the words probable enough for a document of its length
+    (`_zero_cells`). No table of word probabilities comes to the driver.
     """
-    spark = dtm.sparkSession
-    topics = topic_list(beta)
-    cells = cell_rates(dtm, theta, beta, id)
+    size = beta.agg(F.sort_array(F.collect_set("topic")).alias("topics"), F.count(F.lit(1)).alias("rows")).first()
+    k = len(size.topics)
+    packed = _packed(beta, "word", "_beta", size.topics).withColumn("_top", F.array_max("_beta"))
+    ranged = packed.repartitionByRange(size.rows // GROUP_CELLS + 1, F.desc("_top"), "word")
+    words = cut_lineage(ranged.withColumn("_block", F.spark_partition_id()))
+    cells = _with_rates(dtm, _packed(theta, id, "_theta", size.topics), words.select("word", "_beta"), id, keep=True)
     q, n = F.col("q"), F.col("n")
-    observed = cells.groupBy(id).agg(
-        F.sum(n).alias("m"), F.sum(n * n / (q * (1 - q))).alias("_a"), F.sum(n / (1 - q)).alias("_b")
-    )
-    docs = observed.withColumn("_sparse", F.col("_a") / F.col("m") - 2 * F.col("_b"))
-    docs = docs.join(_packed(theta, id, "_theta", topics), id).select("m", "_sparse", "_theta")
-
-    size = beta.agg(F.count(F.lit(1)).alias("cells"), F.countDistinct("topic").alias("k")).first()
-    if size.cells > MAX_BETA_CELLS:
-        raise ValueError("the word probabilities do not fit in a task: trim the vocabulary")
-    rows = _packed(beta, "word", "_beta", topics).select("_beta").toArrow().column(0).combine_chunks()
-    matrix = rows.values.to_numpy().reshape(-1, size.k).T
-    shared = spark.sparkContext.broadcast(np.ascontiguousarray(matrix))
-
-    def dense(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = shared.value
-        step = max(1, DENSE_CELLS // words.shape[1])
-        for batch in batches:
-            for start in range(0, len(batch), step):
-                part = batch.iloc[start : start + step]
-                rate = np.stack(part["_theta"].to_list()) @ words
-                expected = rate * part["m"].to_numpy()[:, None]
-                rest = (expected / (1 - rate)).sum(axis=1)
-                yield pd.DataFrame({"d": rest + part["_sparse"].to_numpy(), "cells": (expected > tol).sum(axis=1)})
-
-    terms = size.cells // size.k
-    sums = docs.mapInPandas(dense, "d double, cells long").agg(
-        F.sum("d").alias("d"), F.sum("cells").alias("cells"), F.count(F.lit(1)).alias("docs")
+    docs = cells.groupBy(id).agg(
+        F.sum(n).alias("m"), F.sum(n * n / (q * (1 - q))).alias("_a"), F.sum(n / (1 - q)).alias("_b"), F.any_value("_theta").alias("_theta")
     )
-    freedom = F.col("cells") - (F.col("docs") * (size.k - 1) + size.k * (terms - 1))
+    docs = cut_lineage(docs.select("m", (F.col("_a") / F.col("m") - 2 * F.col("_b")).alias("_sparse"), "_theta"))
+    zero = _zero_cells(docs.select("m", "_theta"), words, k, tol, rest).withColumn("docs", F.lit(0).cast("long"))
+    seen = docs.agg(F.sum("_sparse").alias("d"), F.lit(0).cast("long").alias("cells"), F.count(F.lit(1)).alias("docs"))
+    sums = seen.unionByName(zero).agg(*[F.sum(c).alias(c) for c in ("d", "cells", "docs")])
+    freedom = F.col("cells") - (F.col("docs") * (k - 1) + k * (words.count() - 1))
     return sums.select(
         F.round("d", 3).alias("avvik"),
         freedom.cast("long").alias("frihetsgrader"),

@@ -222,7 +222,7 @@ def topic_labels(spark, sf):
 )
 def residual_dispersion(spark, sf):
     trimmed = c.trimmed_counts(spark, sf)
-    return topics.residual_dispersion(trimmed, c.given_theta(spark, sf), c.given_beta(spark, sf, trimmed))
+    return topics.residual_dispersion(trimmed, c.given_theta(spark, sf), c.given_beta(spark, sf, trimmed), rest=1e-12)
 
 
 @query(
