@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from themeloom.llm import ngram_join
 from themeloom.llm.common import Stages
@@ -126,3 +127,11 @@ def test_components_of_chains_stars_and_rings(spark):
     expected = {i: 0 for i in range(61)} | {i: 100 for i in range(100, 140)} | {i: 200 for i in (200, 201, 202)}
     assert rows == expected and frame.count() == len(expected)
     assert components(spark.createDataFrame([], "a long, b long"), Stages(spark)).collect() == []
+
+
+def test_null_id_and_the_id_none_are_two(spark):
+    docs = spark.createDataFrame([("none", "a b", 1), (None, "a b", 2), (None, "a b", 3)], "doc_id string, text string, x int")
+    content = F.xxhash64("text").alias("kept_content")
+    kept = docs.where("x < 3").select(content, F.col("doc_id").alias("kept_id"), F.lit(1).cast("long").alias("kept_n"))
+    got = [sorted(r.x for r in ngram_join.rows_of(docs.repartition(n), kept).collect()) for n in (1, 3)]
+    assert got[0] == got[1] and len(got[0]) == 2 and got[0][0] == 1

@@ -65,6 +65,8 @@ def test_equal_to_plain_python(spark):
     day = permuted_number((date(2001, 2, 28) - pii.FIRST_DAY).days, pii.DAY_HALVES, "k", "date")
     assert out[2][0] == f"on {(pii.FIRST_DAY + timedelta(day)).isoformat()}, so"
     ssn = permuted("123456789", "k", "ssn", (pii.DIGITS,))
+    while not re.match(r"(?!000|666|9)\d{3}(?!00)\d\d(?!0000)", ssn):
+        ssn = permuted(ssn, "k", "ssn", (pii.DIGITS,))
     assert out[3][0] == f"ssn {ssn[:3]}-{ssn[3:5]}-{ssn[5:]}"
 
 
@@ -158,3 +160,34 @@ def test_plan_has_no_python(spark):
 
     plan = QUERIES["op8_pii"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_pseudonyms_of_valid_numbers_are_valid(spark):
+    """Two thousand of each kind: no collisions, the same kind again, links across ways of writing."""
+    n = spark.range(2_000).select(F.lpad((F.col("id") * 9_973 + 17).cast("string"), 8, "0").alias("n")).repartition(8)
+    four, three = F.substring("n", 5, 4), F.substring("n", 2, 3)
+    area = F.concat(F.pmod(F.substring("n", 4, 2).cast("int"), F.lit(8)).cast("string"), F.substring("n", 6, 2))
+    ssn = n.select(F.concat_ws("-", F.when(area.isin("000", "666"), "123").otherwise(area), F.lit("45"), F.when(four == "0000", "0001").otherwise(four)).alias("text"))
+    moved = pii.pseudonymise(ssn.distinct(), "k", out="n").cache()
+    assert moved.count() == moved.select("text").distinct().count() == ssn.distinct().count()
+    assert moved.where(r"NOT text RLIKE '^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$'").count() == 0
+    for first in ("5", "0"):
+        phones = n.select(F.concat(F.lit(first), F.substring("n", 1, 2), F.lit("-"), three, F.lit("-"), four).alias("old")).distinct()
+        moved = pii.pseudonymise(phones.withColumn("text", F.col("old")), "k", out="n").cache()
+        assert moved.count() == moved.select("text").distinct().count() == phones.count()
+        can = r"RLIKE '^[2-9][0-9]{2}-[2-9]'"
+        assert moved.where(f"(old {can}) <> (text {can})").count() == 0
+        assert moved.agg(F.sum("n")).first()[0] > 0.99 * phones.count()
+    out = run(spark, ["555-223-4567", "+1 (555) 223-4567", "+15552234567"], key="k")
+    assert len({re.sub(r"\D", "", t)[-10:] for t, _ in out.values()}) == 1
+
+
+def test_key_of_the_session(spark):
+    texts = ["on 10.2.33.254"]
+    with pytest.warns(UserWarning, match="pseudonymKey"):
+        public = run(spark, texts)
+    spark.conf.set(pii.KEY_SETTING, "of the session")
+    try:
+        assert run(spark, texts) == run(spark, texts, key="of the session") != public
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)

@@ -374,12 +374,13 @@ def near_duplicates(
 def rows_of(docs: DataFrame, kept: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The documents that (kept_content, kept_id, kept_n) name, kept_n of the rows that are alike in both."""
     content = F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    # A null id is a key like any other.
-    key = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), content.alias("content"), key(F.col(f"`{doc_id}`")).alias("key"))
+    # A null id is a key like any other, and no id is like it.
+    key = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+    sortable = [f"`{f.name}`" for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), content.alias("content"), key(F.col(f"`{doc_id}`")).alias("key"), F.xxhash64(*sortable).alias("order"))
     wanted = kept.select(F.col("kept_content").alias("content"), key(F.col("kept_id")).alias("key"), "kept_n")
     joined = rows.join(wanted, ["content", "key"])
-    place = F.row_number().over(Window.partitionBy("content", "key").orderBy("content"))
+    place = F.row_number().over(Window.partitionBy("content", "key").orderBy("order"))
     return joined.withColumn("place", place).where("place <= kept_n").select("whole.*")
 
 

@@ -11,12 +11,13 @@ same pseudonym in every document, so links between documents stay; without the k
 | ipv4 | octets up to 255 | the address as two 16-bit halves |
 | card | 13 to 19 digits, Luhn | all but the last digit, which is computed anew |
 | iban | remainder modulo 97 | the account part; check digits are computed anew |
-| phone | shape | the digits after the country code |
-| ssn | area, group and serial in use | all digits |
+| phone | shape | the digits after the country code; ten digits whose area and exchange begin with 2 to 9 stay such |
+| ssn | area, group and serial in use | all digits, so that area, group and serial are in use again |
 | date | calendar, 1900-01-01 to 2099-11-13 (`yyyy-MM-dd`, `yyyy/MM/dd`, `dd.MM.yyyy`, `dd/MM/yyyy`, and `MM/dd/yyyy` of days above 12) | the day number |
 | secret | follows `password`, `token`, `secret` or `key` and a sign, 8 characters with a digit | hexadecimal or letters and digits |
 
-Numbers that fail validation are left as they are.
+Numbers that fail validation are left as they are. Where only some digits are valid, a value is permuted
+again until it is valid (cycle walking), which is a permutation of the valid values.
 
 A value starts at the beginning of a run of letters and digits, whatever sign stands before it, or at a
 `+` or `(` that opens a phone number. What continues a number or an address is no start: addresses
@@ -28,15 +29,19 @@ letter or digit follows; a date also ends before `T` and a time and before `Z`.
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeloom.llm.common import free_name, query, table
 
 ROUNDS = 8
 KEY = "replace this key"
+KEY_SETTING = "spark.themeloom.pseudonymKey"
+WALK = 128
 FIRST_DAY = date(1900, 1, 1)
 DAY_HALVES = (250, 292)  # 73,000 days
 
@@ -213,29 +218,47 @@ def iban(v: Column, key: str) -> Column:
     return F.when(valid, F.transform(F.array(new), built)[0]).otherwise(v)
 
 
+def walked(value: Column, permuted: Callable[[Column], Column], valid: Callable[[Column], Column], steps: int = WALK) -> Column:
+    """A permutation of the valid values: permuted until the result is valid again.
+
+    `valid` must hold for the value. A step fails at most two times in three, so that 128 in a row never do; steps
+    after the first valid result cost nothing.
+    """
+
+    def turn(s: Column, i: Column) -> Column:
+        # The structure is there once for its three fields.
+        return F.when(s["done"], s).otherwise(
+            F.transform(F.array(permuted(s["v"])), lambda v: F.struct(v.alias("v"), valid(v).alias("done")))[0]
+        )
+
+    start = F.struct(value.alias("v"), F.lit(False).alias("done"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, turn)["v"]
+
+
 def phone(v: Column, key: str) -> Column:
+    """Ten digits after no code or +1 stay a number that can be dialled, or one that cannot; other digits are free."""
     code = F.regexp_extract(v, r"^(\+1|\+\d{1,3}(?=[ .(-])|\+\d\d)?", 1)
     rest = F.substring(v, F.length(code) + 1, F.length(v))
-    return F.concat(code, filled(rest, permuted_chars(only_digits(rest), key, "phone", (DIGITS,))))
+    digits = only_digits(rest)
+    permuted = lambda d: permuted_chars(d, key, "phone", (DIGITS,))
+    dialled = lambda d: d.rlike(r"^[2-9]\d\d[2-9]")
+    american = code.isin("", "+1") & (F.length(digits) == 10)
+    new = F.when(american & dialled(digits), walked(digits, permuted, dialled)).when(
+        american, walked(digits, permuted, lambda d: ~dialled(d))
+    )
+    return F.concat(code, filled(rest, new.otherwise(permuted(digits))))
 
 
 def ssn(v: Column, key: str) -> Column:
-    return filled(v, permuted_chars(only_digits(v), key, "ssn", (DIGITS,)))
-
+    permuted = lambda d: permuted_chars(d, key, "ssn", (DIGITS,))
+    used = lambda d: d.rlike(r"^(?!000|666|9)\d{3}(?!00)\d\d(?!0000)\d{4}$")
+    return filled(v, walked(only_digits(v), permuted, used))
 
-def late_day(place: Column, key: str, steps: int = 64) -> Column:
-    """A permutation of the days above 12 of their months: moved until the day is above 12 again.
 
-    A step fails two times in five, so that 64 in a row never do.
-    """
+def late_day(place: Column, key: str) -> Column:
+    """A permutation of the days above 12 of their months."""
     late = lambda p: F.dayofmonth(F.date_add(F.lit(FIRST_DAY), p.cast("int"))) > 12
-
-    def step(p: Column, i: Column) -> Column:
-        return F.when((i > 1) & late(p), p).otherwise(permuted_number(p, DAY_HALVES, key, "date"))
-
-    start = F.struct(place.cast("long").alias("p"), F.lit(1).alias("i"))
-    turn = lambda s, i: F.struct(step(s["p"], s["i"]).cast("long").alias("p"), (i + 1).alias("i"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, turn)["p"]
+    return walked(place.cast("long"), lambda p: permuted_number(p, DAY_HALVES, key, "date").cast("long"), late)
 
 
 def day(v: Column, key: str) -> Column:
@@ -276,13 +299,23 @@ def pseudonym(v: Column, key: str) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text", out: str = "n_replaced") -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The key in the setting `spark.themeloom.pseudonymKey`, or the public placeholder with a warning."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        warnings.warn(f"{KEY_SETTING} is not set: pseudonyms under the public key can be undone by anyone", stacklevel=3)
+    return key or KEY
+
+
+def pseudonymise(docs: DataFrame, key: str | None = None, text: str = "text", out: str = "n_replaced") -> DataFrame:
     """The documents with pseudonyms in the text and the number of replaced values; no shuffle.
 
+    key: the secret under which values are permuted, by default that of the session (`session_key`).
     Every row stays, repeated ones too; a null text stays null and an empty one empty, with 0 replaced.
     All other columns stay; one called like `out` stays too, and the new one gets underscores before it.
     All formats but addresses keep their length. The pattern has no nested repetition, so long texts are read once.
     """
+    key = session_key(docs.sparkSession) if key is None else key
     source = F.col(f"`{text}`")
     found = F.regexp_extract_all(source, F.lit(ANY), F.lit(0))
     between = F.split(source, ANY, -1)
