@@ -8,20 +8,19 @@ from functools import reduce
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import RFormula, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.ml.stat import Summarizer
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.errors import UnsupportedOperationException
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from themeloom.functions import digest_number, if_else
 from themeloom.operators.distributions import quantiles_by
+from themeloom.operators.penalty_path import PathModel, fit_path
 
 SEED = 23319
 ROWS_PER_PARTITION = 20_000
@@ -131,10 +130,10 @@ def _pipeline(df: DataFrame, features: Sequence[str], stage) -> Pipeline:
 
 def fit_classifier(
     kind: str, train: DataFrame, label: str, features: Sequence[str], **params
-) -> PipelineModel | CrossValidatorModel:
+) -> PipelineModel | PathModel:
     """Classifier of a 0/1 label.
 
-    kind: logit, rf (trees, mtry, weight), svm (cost), ridge or lasso (folds, points, id). The features are
+    kind: logit, rf (trees, mtry, weight), svm (cost), ridge or lasso (folds, points, id, tol, max_scans). The features are
     numbers, or one vector column. Pass a cached table: it is counted first and read once per iteration.
     """
     train = sized(train)
@@ -192,36 +191,26 @@ def _block_strength(df: DataFrame, y: Column, block: str) -> float:
 
 
 def _cross_validated(
-    kind: str, train: DataFrame, label: str, features: Sequence[str], folds: int = 5, points: int = 20, id: str = "id"
-) -> CrossValidatorModel:
-    alpha = 0.0 if kind == "ridge" else 1.0
-    folded = train.withColumn("_fold", digest_number(id, seed=SEED + 1, modulus=folds).cast("int"))
-    stage = LogisticRegression(
-        labelCol=label, elasticNetParam=alpha, fitIntercept=kind == "ridge", maxIter=50, tol=1e-5
-    )
-    grid = ParamGridBuilder().addGrid(stage.regParam, lambda_path(train, label, features, alpha, points)).build()
-    validator = CrossValidator(
-        estimator=_pipeline(train, features, stage),
-        estimatorParamMaps=grid,
-        evaluator=MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy"),
-        numFolds=folds,
-        foldCol="_fold",
-        parallelism=8,
-    )
-    return validator.fit(folded)
-
-
-def cv_curve(model: CrossValidatorModel) -> DataFrame:
+    kind: str,
+    train: DataFrame,
+    label: str,
+    features: Sequence[str],
+    folds: int = 5,
+    points: int = 20,
+    id: str = "id",
+    tol: float = 1e-4,
+    max_scans: int = 100,
+) -> PathModel:
+    penalties = lambda_path(train, label, features, 0.0 if kind == "ridge" else 1.0, points)
+    return fit_path(kind, train, label, features, penalties, folds, id, SEED + 1, tol, max_scans)
+
+
+def cv_curve(model: PathModel, spark: SparkSession) -> DataFrame:
     """Misclassification per penalty, mean and standard deviation over the folds."""
-    spark = model.bestModel.stages[-1].summary.predictions.sparkSession
-    rows = [
-        (float(next(iter(p.values()))), 1 - float(mean), float(sd))
-        for p, mean, sd in zip(model.getEstimatorParamMaps(), model.avgMetrics, model.stdMetrics)
-    ]
-    return spark.createDataFrame(rows, "lambda double, feil double, standardavvik double")
+    return spark.createDataFrame(model.curve(), "lambda double, feil double, standardavvik double")
 
 
-def score(model: PipelineModel | CrossValidatorModel, df: DataFrame, label: str, id: str = "id") -> DataFrame:
+def score(model: PipelineModel | PathModel, df: DataFrame, label: str, id: str = "id") -> DataFrame:
     """(id, label, score): probability of class 1, or the decision value where there is none."""
     scored = model.transform(df)
     column = "probability" if "probability" in scored.columns else "rawPrediction"

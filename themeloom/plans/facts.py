@@ -181,6 +181,43 @@ def cv_penalties(spark, sf):
     return modelling.cv_curve(spark, sf).select(F.round("lambda", 6).alias("lambda"))
 
 
+FOLD = f"('0x' || substr(md5('{models.SEED + 1}|' || id), 1, 8))::BIGINT % 3"
+SCORES = " UNION ALL ".join(
+    f"""SELECT sett, straff, '{x}' AS variabel, round(avg({x} * label), 4) + 0.0 AS snitt
+        FROM rader, (SELECT unnest(range(0, 4)) AS sett), (SELECT unnest(range(0, 3)) AS straff)
+        WHERE fold <> sett GROUP BY sett, straff"""
+    for x in c.MODEL_THEMES
+)
+SCORES = f"WITH rader AS (SELECT *, {FOLD} AS fold FROM ({TRAIN})) SELECT * FROM ({SCORES})"
+
+
+def _score_equations(kind):
+    """The mean of feature times label in a training set, from the fitted probabilities.
+
+    Where the optimality condition holds, the mean of feature times probability and the pull of the penalty (its
+    subgradient nearest to the condition) give it for every feature, training set (3: all rows) and penalty.
+    """
+
+    def run(spark, sf):
+        train, _ = modelling._split(spark, sf)
+        model = models.fit_classifier(kind, train, "label", c.MODEL_THEMES, points=3, folds=3, tol=1e-9, max_scans=400)
+        train.unpersist()
+        rows = [
+            (group, place, name, float(value))
+            for group, places in enumerate(model.expected)
+            for place, values in enumerate(places)
+            for name, value in zip(c.MODEL_THEMES, values, strict=True)
+        ]
+        table = spark.createDataFrame(rows, "sett long, straff long, variabel string, snitt double")
+        return table.withColumn("snitt", F.round("snitt", 4) + 0.0)
+
+    return run
+
+
+query("ridge_score_equations", SCORES, ("model_table",))(_score_equations("ridge"))
+query("lasso_score_equations", SCORES, ("model_table",))(_score_equations("lasso"))
+
+
 @query("topic_fit_totals", "SELECT DISTINCT id, CAST(5 AS BIGINT) AS emner, 1.0::DOUBLE AS sum FROM trimmed", ("trimmed",))
 def topic_fit_totals(spark, sf):
     """Every text with a word of the vocabulary has a share in each topic, and the shares add up to one."""

@@ -210,7 +210,7 @@ def cv_curve(spark, sf):
     train, _ = _split(spark, sf)
     model = models.fit_classifier("ridge", train, "label", c.MODEL_THEMES, points=6, folds=5)
     train.unpersist()
-    return models.cv_curve(model)
+    return models.cv_curve(model, spark)
 
 
 @query("crossfit_predict")
