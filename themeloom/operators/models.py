@@ -133,7 +133,7 @@ def fit_classifier(
 ) -> PipelineModel | PathModel:
     """Classifier of a 0/1 label.
 
-    kind: logit, rf (trees, mtry, weight), svm (cost), ridge or lasso (folds, points, id, tol, max_scans). The features are
+    kind: logit, rf (trees, mtry, weight), svm (cost), ridge or lasso (folds, points, id, tol, gain, max_scans). The features are
     numbers, or one vector column. Pass a cached table: it is counted first and read once per iteration.
     """
     train = sized(train)
@@ -199,10 +199,11 @@ def _cross_validated(
     points: int = 20,
     id: str = "id",
     tol: float = 1e-4,
-    max_scans: int = 100,
+    gain: float = 1e-5,
+    max_scans: int = 60,
 ) -> PathModel:
     penalties = lambda_path(train, label, features, 0.0 if kind == "ridge" else 1.0, points)
-    return fit_path(kind, train, label, features, penalties, folds, id, SEED + 1, tol, max_scans)
+    return fit_path(kind, train, label, features, penalties, folds, id, SEED + 1, tol, gain, max_scans)
 
 
 def cv_curve(model: PathModel, spark: SparkSession) -> DataFrame:

@@ -54,6 +54,7 @@ class Candidate:
     direction: np.ndarray | None = None
     forced: bool = False
     done: bool = False
+    small: int = 0  # steps in a row that gained little
 
 
 @dataclass
@@ -245,6 +246,7 @@ def fit_path(
     id: str = "id",
     seed: int = 0,
     tol: float = 1e-6,
+    gain: float = 0.0,
     max_scans: int = 150,
 ) -> PathModel:
     """Logits of a 0/1 label for all penalties, on the rows outside each fold and on all rows.
@@ -253,7 +255,8 @@ def fit_path(
     the squares, or the absolute values, of the coefficients of features divided by their deviation in the training
     set; a feature without deviation there keeps 0. The features are numbers, or one vector column. A candidate is
     done when its optimality condition is violated by at most tol, for the lasso also when its duality gap is at
-    most tol * tol; `avvik` of the result says what was reached after max_scans.
+    most tol * tol, and where gain is given also after two steps in a row that lower the objective by at most that
+    share; `avvik` of the result says what was reached after max_scans.
 
     A missing label or feature is an error, and so is an empty table. A missing id counts as one id. Pass a cached
     or stored table: it is read once for each scan. The driver holds (folds + 1) * penalties * features numbers,
@@ -285,6 +288,11 @@ def fit_path(
     spread = np.maximum(0.0, squares / n[:, None] - mean**2)
     spread[spread <= 1e-12 * squares / n[:, None]] = 0.0
     deviation = np.sqrt(spread * (n / np.maximum(n - 1, 1))[:, None])
+    # Features that are the same in every row of every training set keep 0 and take no part.
+    whole_marked, whole_deviation = marked, deviation
+    kept, all_features = np.flatnonzero(deviation.any(axis=0)), width
+    total, squares, marked, mean, deviation = (a[:, kept] for a in (total, squares, marked, mean, deviation))
+    width = len(kept)
     unit = np.divide(1.0, deviation, out=np.zeros_like(deviation), where=deviation > 0)
     centre = mean if kind == "ridge" else np.zeros_like(mean)
     lengths = np.sqrt(squares) * unit
@@ -311,36 +319,39 @@ def fit_path(
         if not active:
             break
         used = np.flatnonzero(np.any([c.inside[:-1] for c in active], axis=0))
-        found = _evaluate(rows, active, used, unit, centre, [c.trial for c in active])
+        found = _evaluate(rows, active, kept[used], unit, centre, [c.trial for c in active], kept, all_features)
         scans += 1
         for c, row in zip(active, found, strict=True):
             g = c.group
             whole = np.zeros(width)
             whole[used] = row[4:]
             gradient = _gradient(whole, row[2], centre[g], unit[g], n[g], kind)
-            _take(c, Point(c.trial, row[0] / n[g], gradient, row[1] / n[g]), kind)
+            _take(c, Point(c.trial, row[0] / n[g], gradient, row[1] / n[g]), kind, gain)
         _share(candidates, kind)
 
-    found = _evaluate(rows, candidates, np.arange(width), unit, centre, [c.at.x for c in candidates])
+    everything, points = np.arange(all_features), [c.at.x for c in candidates]
+    found = _evaluate(rows, candidates, everything, unit, centre, points, kept, all_features)
     shape = (folds + 1, len(penalties))
     model = PathModel(
-        kind, [float(p) for p in penalties], np.zeros((*shape, width)), np.zeros(shape), np.zeros((folds, shape[1])),
-        np.zeros(shape), np.zeros((*shape, width)), scans + 1, list(features),
+        kind, [float(p) for p in penalties], np.zeros((*shape, all_features)), np.zeros(shape),
+        np.zeros((folds, shape[1])), np.zeros(shape), np.zeros((*shape, all_features)), scans + 1, list(features),
     )
     for c, row in zip(candidates, found, strict=True):
-        g, i = c.group, c.place
-        model.coefficients[g, i], model.intercepts[g, i] = _as_given(c.at.x, unit[g], centre[g])
+        g, i, x = c.group, c.place, c.at.x
+        w, model.intercepts[g, i] = _as_given(x, unit[g], centre[g])
+        model.coefficients[g, i, kept] = w
         if g < folds:
             model.feil[g, i] = row[3] / max(1.0, n[folds] - n[g])
-        gradient = _gradient(row[4:], row[2], centre[g], unit[g], n[g], kind)
+        gradient = _gradient(row[4:][kept], row[2], centre[g], unit[g], n[g], kind)
         inside = np.r_[deviation[g] > 0, kind == "ridge"]
-        model.avvik[g, i] = np.abs(_steepest(c.at.x, gradient, c.penalty, inside, kind)).max()
+        model.avvik[g, i] = np.abs(_steepest(x, gradient, c.penalty, inside, kind)).max()
         # The subgradient of the penalty, at its nearest to the condition.
+        z = np.zeros(all_features)
         if kind == "ridge":
-            z = c.at.x[:-1]
+            z[kept] = x[:-1]
         else:
-            z = np.where(c.at.x[:-1] != 0, np.sign(c.at.x[:-1]), np.clip(-gradient[:-1] / c.penalty, -1, 1))
-        model.expected[g, i] = (row[4:] + marked[g]) / n[g] + c.penalty * z * deviation[g]
+            z[kept] = np.where(x[:-1] != 0, np.sign(x[:-1]), np.clip(-gradient[:-1] / c.penalty, -1, 1))
+        model.expected[g, i] = (row[4:] + whole_marked[g]) / n[g] + c.penalty * z * whole_deviation[g]
     return model
 
 
@@ -350,10 +361,12 @@ def _as_given(x: np.ndarray, unit: np.ndarray, centre: np.ndarray) -> tuple[np.n
     return w, float(x[-1] - w @ centre)
 
 
-def _evaluate(rows, candidates, used, unit, centre, points) -> np.ndarray:
-    given = [_as_given(x, unit[c.group], centre[c.group]) for c, x in zip(candidates, points, strict=True)]
-    groups = np.array([c.group for c in candidates])
-    return _scan(rows, groups, np.stack([w for w, _ in given], axis=1), np.array([b for _, b in given]), used)
+def _evaluate(rows, candidates, used, unit, centre, points, kept, all_features) -> np.ndarray:
+    """One scan at a point for each candidate; `used` and the results count all features, points the kept ones."""
+    weights, starts = np.zeros((all_features, len(candidates))), np.zeros(len(candidates))
+    for i, (c, x) in enumerate(zip(candidates, points, strict=True)):
+        weights[kept, i], starts[i] = _as_given(x, unit[c.group], centre[c.group])
+    return _scan(rows, np.array([c.group for c in candidates]), weights, starts, used)
 
 
 def _gradient(sums, rest, centre, unit, n, kind) -> np.ndarray:
@@ -416,28 +429,31 @@ def _set_trial(c: Candidate, steepest: np.ndarray, kind: str) -> None:
 
 def _curved(gradient: np.ndarray, c: Candidate, kind: str) -> np.ndarray:
     """The gradient times the inverse curvature that the pairs tell of (limited-memory BFGS)."""
-    ridge = c.penalty if kind == "ridge" else 0.0
+    inside = np.flatnonzero(c.inside)
     pairs = []
     for s, y in c.at.pairs:
-        whole = np.where(c.inside, y + ridge * np.r_[s[:-1], 0.0], 0.0)
-        part = np.where(c.inside, s, 0.0)
+        part, whole = s[inside], y[inside]
+        if kind == "ridge":
+            whole += c.penalty * np.where(inside < len(s) - 1, part, 0.0)
         product = float(part @ whole)
         if product > 1e-14 * float(whole @ whole):
             pairs.append((part, whole, product))
-    out, factors = gradient.copy(), []
+    moved, factors = gradient[inside], []
     for s, y, product in reversed(pairs):
-        a = float(s @ out) / product
-        out -= a * y
+        a = float(s @ moved) / product
+        moved -= a * y
         factors.append(a)
     if pairs:
         s, y, product = pairs[-1]
-        out *= product / float(y @ y)
+        moved *= product / float(y @ y)
     for (s, y, product), a in zip(pairs, reversed(factors), strict=True):
-        out += (a - float(y @ out) / product) * s
+        moved += (a - float(y @ moved) / product) * s
+    out = np.zeros_like(gradient)
+    out[inside] = moved
     return out
 
 
-def _take(c: Candidate, found: Point, kind: str) -> None:
+def _take(c: Candidate, found: Point, kind: str, gain: float) -> None:
     """Goes to the point looked at where the objective fell enough, else looks nearer."""
     steepest = _steepest(c.at.x, c.at.gradient, c.penalty, c.inside, kind)
     moved = found.x - c.at.x
@@ -445,6 +461,8 @@ def _take(c: Candidate, found: Point, kind: str) -> None:
     wanted = now + 1e-4 * float(steepest @ moved) + 1e-15 * abs(now)
     if c.forced or _objective(found, c.penalty, kind) <= wanted:
         if not c.forced:
+            c.small = c.small + 1 if now - _objective(found, c.penalty, kind) <= gain * abs(now) else 0
+            c.done = gain > 0 and c.small >= 2
             found.pairs = [*c.at.pairs, (moved, found.gradient - c.at.gradient)][-MEMORY:]
         c.at, c.trial, c.forced = found, None, False
         return

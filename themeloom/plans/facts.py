@@ -184,11 +184,10 @@ def cv_penalties(spark, sf):
 FOLD = f"('0x' || substr(md5('{models.SEED + 1}|' || id), 1, 8))::BIGINT % 3"
 SCORES = " UNION ALL ".join(
     f"""SELECT sett, straff, '{x}' AS variabel, round(avg({x} * label), 4) + 0.0 AS snitt
-        FROM rader, (SELECT unnest(range(0, 4)) AS sett), (SELECT unnest(range(0, 3)) AS straff)
+        FROM (SELECT *, {FOLD} AS fold FROM ({TRAIN})), (SELECT unnest(range(0, 4)) AS sett), (SELECT unnest(range(0, 3)) AS straff)
         WHERE fold <> sett GROUP BY sett, straff"""
     for x in c.MODEL_THEMES
 )
-SCORES = f"WITH rader AS (SELECT *, {FOLD} AS fold FROM ({TRAIN})) SELECT * FROM ({SCORES})"
 
 
 def _score_equations(kind):
@@ -200,7 +199,7 @@ def _score_equations(kind):
 
     def run(spark, sf):
         train, _ = modelling._split(spark, sf)
-        model = models.fit_classifier(kind, train, "label", c.MODEL_THEMES, points=3, folds=3, tol=1e-9, max_scans=400)
+        model = models.fit_classifier(kind, train, "label", c.MODEL_THEMES, points=3, folds=3, tol=1e-9, gain=0.0, max_scans=400)
         train.unpersist()
         rows = [
             (group, place, name, float(value))
