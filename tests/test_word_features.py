@@ -60,3 +60,26 @@ def test_penalties_and_classifiers_take_a_vector(spark):
     scored = models.score(models.fit_classifier("lasso", block, "label", ["x"], points=3, folds=2), block, "label")
     assert scored.where((F.col("score") > 0.5) == (F.col("label") == 1)).count() > 340
     block.unpersist()
+
+
+def test_only_the_words_of_the_rows_travel(spark, matrix, monkeypatch):
+    """Texts without a row of numbers count in the frequencies; their words are neither stored nor joined."""
+    kept, store = [], text.cut_lineage
+    monkeypatch.setattr(text, "cut_lineage", lambda df: kept.append(store(df)) or kept[-1])
+    numbers = spark.createDataFrame([(1, 0.5), (None, 1.0), (1, 2.0)], "id long, v double")
+    own = matrix.where("id = 1")
+    for part in (None, own):
+        rows = word_features.assemble(numbers, matrix, ["v"], cells=CELLS, own=part).collect()
+        assert sorted(r.v for r in rows) == [0.5, 1.0, 2.0]
+        for r in rows:
+            words = {c: x for (i, c), x in expected().items() if i == r.id}
+            assert np.allclose(r.x.toArray(), [r.v, *[words.get(c, 0.0) for c in range(CELLS)]])
+    stored = [df for df in kept if {"id", "tf"} <= set(df.columns)]
+    assert stored and all({r.id for r in df.select("id").collect()} == {1} for df in stored)
+
+
+def test_frequencies_from_one_pass(spark):
+    dtm = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b"), (None, "b"), (3, None)], "id long, word string")
+    spread, docs = text.document_frequencies(dtm)
+    assert {(r.word, r.df) for r in spread.collect()} == {("a", 2), ("b", 2), (None, 1)}
+    assert spark.range(1).select(docs.alias("n")).first().n == dtm.select(text.documents_with_words(dtm).alias("n")).first().n == 3
