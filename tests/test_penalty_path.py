@@ -112,3 +112,23 @@ def test_odd_tables(spark):
     chosen = models.fit_classifier("ridge", df.cache(), "label", NAMES, folds=2, points=3)
     assert models.cv_curve(chosen, spark).count() == 3
     assert models.score(chosen, df, "label").count() == 40
+
+
+def test_one_task_for_each_core_of_many_small_partitions(spark):
+    """The sums of a scan do not grow with the rows, and few rows make one task."""
+    few = spark.range(3_000).repartition(40)
+    assert models.sized(few, models.PATH_ROWS, 8).rdd.getNumPartitions() == 4
+    many = spark.range(30_000).repartition(40)
+    assert models.sized(many, models.PATH_ROWS, 8).rdd.getNumPartitions() == 8
+
+
+def test_sums_of_entries_and_columns():
+    rng = np.random.default_rng(5)
+    dense = np.where(rng.random((7, 5)) < 0.5, rng.normal(size=(7, 5)), 0.0)
+    dense[3] = 0.0  # a row without entries
+    rows, places = np.nonzero(dense)
+    starts = np.r_[0, np.cumsum(np.bincount(rows, minlength=7))]
+    weights, parts, total = rng.normal(size=(3, 5)), rng.normal(size=(7, 3)), np.ones((3, 5))
+    assert np.allclose(penalty_path._products(starts, places, dense[rows, places], weights), dense @ weights.T)
+    penalty_path._add_columns(total, starts, places, dense[rows, places], parts)
+    assert np.allclose(total, 1 + parts.T @ dense)

@@ -24,6 +24,7 @@ from themeloom.operators.penalty_path import PathModel, fit_path
 
 SEED = 23319
 ROWS_PER_PARTITION = 20_000
+PATH_ROWS = 1_000  # a row of a penalty path meets all folds and penalties at once
 
 
 def train_test_split(df: DataFrame, id: str = "id", percent: int = 80, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -116,9 +117,10 @@ def _stars(p: float) -> str:
     return "***" if p < 0.01 else "**" if p < 0.05 else "*" if p < 0.1 else ""
 
 
-def sized(df: DataFrame, rows: int = ROWS_PER_PARTITION) -> DataFrame:
-    """Partitions of about `rows` rows for the many short passes of a fit; never more than there are now."""
-    return df.coalesce(df.count() // rows + 1)
+def sized(df: DataFrame, rows: int = ROWS_PER_PARTITION, most: int | None = None) -> DataFrame:
+    """Partitions of about `rows` rows, at most `most`, for the many short passes of a fit; never more than there are now."""
+    partitions = df.count() // rows + 1
+    return df.coalesce(partitions if most is None else min(partitions, most))
 
 
 def _pipeline(df: DataFrame, features: Sequence[str], stage) -> Pipeline:
@@ -136,6 +138,10 @@ def fit_classifier(
     kind: logit, rf (trees, mtry, weight), svm (cost), ridge or lasso (folds, points, id, tol, gain, max_scans). The features are
     numbers, or one vector column. Pass a cached table: it is counted first and read once per iteration.
     """
+    if kind in ("ridge", "lasso"):
+        # Every task sends sums of all folds and penalties: one for each core, however many rows there are.
+        cores = train.sparkSession.sparkContext.defaultParallelism
+        return _cross_validated(kind, sized(train, PATH_ROWS, cores), label, features, **params)
     train = sized(train)
     if kind == "logit":
         stage = LogisticRegression(labelCol=label, regParam=0.0, maxIter=params.get("max_iter", 100))
@@ -156,8 +162,6 @@ def fit_classifier(
         cost = params.get("cost", 10)
         stage = LinearSVC(labelCol=label, regParam=1.0 / (cost * train.count()), maxIter=params.get("max_iter", 100))
         return _pipeline(train, features, stage).fit(train)
-    if kind in ("ridge", "lasso"):
-        return _cross_validated(kind, train, label, features, **params)
     raise ValueError(kind)
 
 

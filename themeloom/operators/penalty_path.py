@@ -17,9 +17,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import VectorUDT
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +27,7 @@ from themeloom.functions import digest_number
 BLOCK = 8192
 CELLS_AT_ONCE = 4_000_000
 MEMORY = 8
-SUMMED = "part int, block int, values array<double>"
+SUMMED = "part int, block int, values binary"
 
 
 @dataclass
@@ -86,7 +85,7 @@ class PathModel:
         @F.arrow_udf("double")
         def positive(indices: pa.Array, values: pa.Array) -> pa.Array:
             weights, start = share.value
-            sums = _products(*_sparse(indices, values), weights[:, None])[:, 0] + start
+            sums = _products(*_sparse(indices, values), weights[None, :])[:, 0] + start
             return pa.array(_logistic(sums))
 
         indices, values = _entries(df, self.features)
@@ -120,12 +119,16 @@ def _sparse(indices: pa.Array, values: pa.Array) -> tuple[np.ndarray, np.ndarray
 
 
 def _products(starts: np.ndarray, places: np.ndarray, flat: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Rows times weights, for rows given by their entries."""
-    out = np.zeros((len(starts) - 1, weights.shape[1]))
+    """Rows times weights (columns by features), for rows given by their entries.
+
+    One column at a time, which passes over numbers that lie side by side.
+    """
+    out = np.zeros((len(weights), len(starts) - 1))
     filled = np.flatnonzero(np.diff(starts))
     if len(filled):
-        out[filled] = np.add.reduceat(flat[:, None] * weights[places], starts[filled], axis=0)
-    return out
+        for column, own in zip(out, weights, strict=True):
+            column[filled] = np.add.reduceat(flat * own[places], starts[filled])
+    return out.T
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
@@ -149,26 +152,22 @@ def _pieces(batches: Iterator[pa.RecordBatch], width: int):
 
 
 def _add_columns(total: np.ndarray, starts: np.ndarray, places: np.ndarray, flat: np.ndarray, parts: np.ndarray) -> None:
-    """total[feature] += value * parts[row] over all entries; places below zero are left out."""
-    rows = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    order = np.argsort(places, kind="stable")
-    order = order[np.searchsorted(places[order], 0) :]
-    if len(order):
-        sorted_places = places[order]
-        bounds = np.flatnonzero(np.r_[True, sorted_places[1:] != sorted_places[:-1]])
-        total[sorted_places[bounds]] += np.add.reduceat(flat[order, None] * parts[rows[order]], bounds, axis=0)
+    """total[column, feature] += value * parts[row, column] over all entries."""
+    counts = np.diff(starts)
+    for column, own in zip(total, parts.T, strict=True):
+        column += np.bincount(places, flat * np.repeat(own, counts), minlength=len(column))
 
 
 def _blocks(total: np.ndarray, extra: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row for each part and block: columns of total, then those of extra."""
-    whole = np.concatenate([extra, total]).T
+    """One row for each part and block: columns of extra, then those of total."""
+    whole = np.concatenate([extra.T, total], axis=1)
     for start in range(0, whole.shape[1], BLOCK):
         cut = whole[:, start : start + BLOCK]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(np.arange(len(cut)), pa.int32()),
                 pa.array(np.full(len(cut), start // BLOCK), pa.int32()),
-                pa.array(list(cut), pa.list_(pa.float64())),
+                pa.array([values.tobytes() for values in cut], pa.binary()),
             ],
             names=["part", "block", "values"],
         )
@@ -176,15 +175,25 @@ def _blocks(total: np.ndarray, extra: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 def _summed(rows: DataFrame, task, parts: int, width: int) -> np.ndarray:
     """Sums of the blocks of all tasks, parts x width."""
-    sums = rows.mapInArrow(task, SUMMED).groupBy("part", "block").agg(
-        vector_to_array(Summarizer.sum(array_to_vector("values"))).alias("values")
-    )
+
+    def add(batches):
+        sums = {}
+        for batch in batches:
+            for part, block, values in zip(*batch.to_pydict().values(), strict=True):
+                found = np.frombuffer(values)
+                sums[part, block] = sums[part, block] + found if (part, block) in sums else found
+        for (part, block), values in sums.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([values.tobytes()], pa.binary())],
+                names=["part", "block", "values"],
+            )
+
+    # A task sends each block once, as bytes, which no engine has to take apart on the way.
+    table = rows.mapInArrow(task, SUMMED).repartition("part", "block").mapInArrow(add, SUMMED).toArrow()
     out = np.zeros((parts, width))
-    table = sums.toArrow()
-    for part, block, values in zip(*[table.column(i) for i in range(3)], strict=True):
-        found = values.values.to_numpy()
-        at = block.as_py() * BLOCK
-        out[part.as_py(), at : at + len(found)] = found
+    for part, block, values in zip(*table.to_pydict().values(), strict=True):
+        found = np.frombuffer(values)
+        out[part, block * BLOCK : block * BLOCK + len(found)] = found
     return out
 
 
@@ -192,13 +201,13 @@ def _moments(rows: DataFrame, folds: int, width: int) -> np.ndarray:
     """For each fold: rows, ones, then for each feature the sums of x, x * x and x * y; folds x (2 + 3 * width)."""
 
     def task(batches):
-        total, extra = np.zeros((3 * width, folds)), np.zeros((2, folds))
+        total, extra = np.zeros((folds, 3 * width)), np.zeros((2, folds))
         for fold, label, starts, places, flat in _pieces(batches, folds):
             own = (fold[:, None] == np.arange(folds)).astype(float)
             extra[0] += own.sum(axis=0)
             extra[1] += label @ own
             for i, (values, parts) in enumerate([(flat, own), (flat * flat, own), (flat, own * label[:, None])]):
-                _add_columns(total[i * width : (i + 1) * width], starts, places, values, parts)
+                _add_columns(total[:, i * width : (i + 1) * width], starts, places, values, parts)
         yield from _blocks(total, extra)
 
     return _summed(rows, task, folds, 2 + 3 * width)
@@ -210,15 +219,18 @@ def _scan(rows: DataFrame, groups: np.ndarray, weights: np.ndarray, starts: np.n
     spark = rows.sparkSession
     number = np.full(weights.shape[0], -1)
     number[used] = np.arange(len(used))
-    shared = spark.sparkContext.broadcast((groups, weights[used], starts, number))
+    shared = spark.sparkContext.broadcast((groups, np.ascontiguousarray(weights[used].T), starts, number))
 
     def task(batches):
         group, w, start, place = shared.value
-        total, extra = np.zeros((len(w), len(group))), np.zeros((4, len(group)))
+        total, extra = np.zeros(w.shape), np.zeros((4, len(group)))
         for fold, label, bounds, places, flat in _pieces(batches, len(group)):
-            # Places out of use have the number -1; their values count as zero.
+            # Places out of use have the number -1; their entries are left out.
             at = place[places]
-            sums = _products(bounds, at, np.where(at < 0, 0.0, flat), w) + start
+            keep = at >= 0
+            bounds = np.r_[0, np.cumsum(keep)][bounds]
+            at, flat = at[keep], flat[keep]
+            sums = _products(bounds, at, flat, w) + start
             own = fold[:, None] != group
             p = _logistic(sums)
             rest = np.where(own, p - label[:, None], 0.0)
@@ -258,8 +270,9 @@ def fit_path(
     most tol * tol, and where gain is given also after two steps in a row that lower the objective by at most that
     share; `avvik` of the result says what was reached after max_scans.
 
-    A missing label or feature is an error, and so is an empty table. A missing id counts as one id. Pass a cached
-    or stored table: it is read once for each scan. The driver holds (folds + 1) * penalties * features numbers,
+    A missing label or feature is an error, and so is an empty table. A missing id counts as one id. The rows of
+    numbers that the scans read are kept while the path is fitted. Each task of a scan sends one set of sums, so a
+    table in more partitions than there are cores only sends more. The driver holds (folds + 1) * penalties * features numbers,
     times 18 at most for the curvature of candidates that share none.
     """
     if kind not in ("ridge", "lasso"):
@@ -277,6 +290,25 @@ def fit_path(
     else:
         width = len(features)
 
+    rows = rows.persist()
+    try:
+        return _fitted_path(rows, kind, penalties, folds, width, tol, gain, max_scans, list(features))
+    finally:
+        rows.unpersist()
+
+
+def _fitted_path(
+    rows: DataFrame,
+    kind: str,
+    penalties: Sequence[float],
+    folds: int,
+    width: int,
+    tol: float,
+    gain: float,
+    max_scans: int,
+    features: list[str],
+) -> PathModel:
+    """`fit_path` on its rows (fold, y, indices, values)."""
     sums = _moments(rows, folds, width)
     sums = np.concatenate([sums.sum(axis=0) - sums, sums.sum(axis=0)[None]])  # every training set
     n, ones = sums[:, 0], sums[:, 1]
@@ -334,7 +366,7 @@ def fit_path(
     shape = (folds + 1, len(penalties))
     model = PathModel(
         kind, [float(p) for p in penalties], np.zeros((*shape, all_features)), np.zeros(shape),
-        np.zeros((folds, shape[1])), np.zeros(shape), np.zeros((*shape, all_features)), scans + 1, list(features),
+        np.zeros((folds, shape[1])), np.zeros(shape), np.zeros((*shape, all_features)), scans + 1, features,
     )
     for c, row in zip(candidates, found, strict=True):
         g, i, x = c.group, c.place, c.at.x
