@@ -83,3 +83,13 @@ def test_frequencies_from_one_pass(spark):
     spread, docs = text.document_frequencies(dtm)
     assert {(r.word, r.df) for r in spread.collect()} == {("a", 2), ("b", 2), (None, 1)}
     assert spark.range(1).select(docs.alias("n")).first().n == dtm.select(text.documents_with_words(dtm).alias("n")).first().n == 3
+
+
+def test_vocabulary_counts_the_words_of_a_text_once_unsorted(spark, tmp_path, monkeypatch):
+    from themeloom.plans import texts
+
+    docs = spark.createDataFrame([(1, "b a A"), (2, "a"), (3, None), (4, ""), (4, "a")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    split = text.split_words(docs, "doc_id", "text").withColumnRenamed("doc_id", "id")
+    monkeypatch.setattr(text, "word_counts", lambda words: pytest.fail("sorts the words of every text"))
+    assert texts._vocabulary(spark, str(tmp_path), split) == [("a", 3), ("b", 1)]
