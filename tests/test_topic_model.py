@@ -66,3 +66,17 @@ def test_bound_is_below_the_likelihood_of_one_topic(spark):
     assert row.shares == [1.0] and row.bound == pytest.approx(3 * logs[0] + logs[1])
     words = -3 * logs[0] - logs[1] + math.lgamma(4) + math.lgamma(2) + math.lgamma(2) - math.lgamma(6)
     assert model.bound(inferred) == pytest.approx(row.bound + words)
+
+
+def test_words_counted_by_vectors_are_the_trimmed_ones(spark, tmp_path):
+    from themeloom.operators import text
+    from themeloom.plans import catalog, texts
+
+    rows = [(i, f"common w{i % 5} w{i % 5} rare{i}") for i in range(300)] + [(3, "w1 w2"), (None, "w1 w1"), (9, None), (10, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    split = catalog.stored_words(spark, str(tmp_path)).where("size(words) > 0")
+    words = [w for w, _ in texts._vocabulary(spark, str(tmp_path), split)]
+    listed = lambda df: sorted(map(str, df.select("id", "word", "n").collect()))
+    found = text.vector_counts(text.doc_vectors(split, words), words)
+    assert listed(found) == listed(catalog.trimmed_counts(spark, str(tmp_path)))
+    assert {r.word for r in found.collect()} == {"common", "w0", "w1", "w2", "w3", "w4"}
