@@ -266,3 +266,19 @@ def test_density_sums_to_one(spark):
 def test_boxplot(spark):
     df = spark.createDataFrame([("a", float(v)) for v in (1, 2, 3, 4, 100)], "g string, x double")
     assert rows(distributions.boxplot_stats(df, ["g"], "x")) == [("a", 2.0, 3.0, 4.0, 1.0, 4.0, 1)]
+
+
+def test_tfidf_vectors_of_odd_texts(spark, tmp_path):
+    """Texts without words or without text go, and one with the whole vocabulary stays."""
+    import duckdb
+
+    import __spark_entry__ as entry_module
+
+    rows = [(i, f"w{i % 4} w{i % 4} w{i % 3} rare{i}") for i in range(300)] + [(300, ""), (301, "... !"), (302, None), (303, "w0 w1 w2 w3")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    expected = {r[0]: r[1:] for r in con.execute(f"SELECT id, ulike, tf_idf FROM ({entry_module.oracle_sql()['tfidf_vectors']})").fetchall()}
+    found = {r.id: (r.ulike, r.tf_idf) for r in entry_module.queries()["tfidf_vectors"](spark, str(tmp_path)).collect()}
+    assert len(found) == 301 and found[303][0] == 4
+    assert found == {i: (n, pytest.approx(x, abs=2e-6)) for i, (n, x) in expected.items()}
