@@ -254,3 +254,29 @@ def test_dependence_takes_any_number_of_levels(spark):
     model = models.fit_classifier("rf", data, "label", ["c_ix"], trees=3, mtry=1, depth=3)
     levels = data.select(F.col("c_ix").alias("x")).distinct()
     assert models.partial_dependence(model, data, "c_ix", levels, ["c_ix"]).count() == 80
+
+
+@pytest.fixture
+def rows_with_words(spark, monkeypatch):
+    """Twenty-five features in one vector, in the place of the table of themes and words."""
+    from pyspark.ml.linalg import Vectors
+
+    from themeloom.plans import modelling
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 25))
+    rows = [(i, int(v[0] + 0.5 * rng.normal() > 0), Vectors.dense(v)) for i, v in enumerate(x)]
+    table = spark.createDataFrame(rows, ["id", "label", "x"]).withColumn("label", F.col("label").cast("double"))
+    monkeypatch.setattr(modelling.c, "training_table", lambda *_: table)
+    return table
+
+
+def test_logit_scores_training_and_test_rows(spark, rows_with_words):
+    from themeloom.plans import QUERIES
+
+    found = {r.id: r for r in QUERIES["clf_logit"](spark, "").collect()}
+    train, test = ({r.id for r in part.collect()} for part in models.train_test_split(rows_with_words))
+    assert len(train) + len(test) == len(found) == 300
+    assert {i for i, r in found.items() if r["del"] == "trening"} == train
+    assert {i for i, r in found.items() if r["del"] == "test"} == test
+    assert all(0 <= r.score <= 1 for r in found.values())

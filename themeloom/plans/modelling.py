@@ -191,7 +191,16 @@ def _classifier(name: str, kind: str, **params) -> None:
         return models.score(model, test, "label").withColumn("score", F.round("score", 6))
 
 
-_classifier("clf_logit", "logit")
+@query("clf_logit")
+def clf_logit(spark, sf):
+    """Scores of the rows that were learned from and of the test rows, from themes and words."""
+    train, test = _split_with_words(spark, sf)
+    model = models.fit_classifier("logit", train, "label", ["x"])
+    train.unpersist()
+    parts = [models.score(model, rows, "label").withColumn("del", F.lit(name)) for name, rows in (("trening", train), ("test", test))]
+    return parts[0].unionByName(parts[1]).withColumn("score", F.round("score", 6))
+
+
 _classifier("clf_svm", "svm", cost=10, max_iter=50)
 _classifier("clf_ridge", "ridge", points=6, folds=5)
 _classifier("clf_lasso", "lasso", points=6, folds=5)
