@@ -280,3 +280,13 @@ def test_logit_scores_training_and_test_rows(spark, rows_with_words):
     assert {i for i, r in found.items() if r["del"] == "trening"} == train
     assert {i for i, r in found.items() if r["del"] == "test"} == test
     assert all(0 <= r.score <= 1 for r in found.values())
+
+
+def test_forest_of_a_theme_is_whole(spark, rows_with_words, monkeypatch):
+    from themeloom.plans import QUERIES
+
+    fit, fitted = models.fit_classifier, []
+    monkeypatch.setattr(models, "fit_classifier", lambda *a, **b: fitted.append(fit(*a, **b)) or fitted[-1])
+    assert QUERIES["clf_rf"](spark, "").count() == models.train_test_split(rows_with_words)[1].count()
+    forest = fitted[0].stages[-1]
+    assert forest.getNumTrees == 200 and forest.getOrDefault("maxDepth") >= 10

@@ -15,6 +15,7 @@ from themeloom.sources import cut_lineage
 SPLIT = f"('0x' || substr(md5('{models.SEED}|' || id), 1, 8))::BIGINT % 100 < 80"
 CONTROLS = ["org_form", "fylke2"]
 FOREST = {"trees": 50, "mtry": 8, "depth": 8}
+THEME_FOREST = {"trees": 200, "mtry": 8, "depth": 10}
 
 
 @query("train_test_split", f"SELECT id, CASE WHEN {SPLIT} THEN 'trening' ELSE 'test' END AS del FROM apps", ("apps",))
@@ -210,7 +211,7 @@ _classifier("clf_lasso", "lasso", points=6, folds=5)
 def clf_rf(spark, sf):
     train, test = _split_with_words(spark, sf, word_features.FOREST_CELLS)
     weighted = models.with_class_weight(train, "label")
-    model = models.fit_classifier("rf", weighted, "label", ["x"], weight="vekt", **FOREST)
+    model = models.fit_classifier("rf", weighted, "label", ["x"], weight="vekt", **THEME_FOREST)
     return models.score(model, test, "label").withColumn("score", F.round("score", 6))
 
 
