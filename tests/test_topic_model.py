@@ -80,3 +80,21 @@ def test_words_counted_by_vectors_are_the_trimmed_ones(spark, tmp_path):
     found = text.vector_counts(text.doc_vectors(split, words), words)
     assert listed(found) == listed(catalog.trimmed_counts(spark, str(tmp_path)))
     assert {r.word for r in found.collect()} == {"common", "w0", "w1", "w2", "w3", "w4"}
+
+
+def test_sweep_asks_for_all_passes(spark, tmp_path, monkeypatch):
+    from themeloom.plans import QUERIES
+
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{w}" for w in rng.choice(30, 40) + 20 * (i % 3))) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    fit, asked = topics.fit_topics, []
+
+    def one_pass(vectors, k, seed, max_iter):
+        asked.append((k, max_iter))
+        return fit(vectors, k, seed, 1)
+
+    monkeypatch.setattr(topics, "fit_topics", one_pass)
+    found = {(r.k, r.metric): r.value for r in QUERIES["topic_k_metrics"](spark, str(tmp_path)).collect()}
+    assert asked == [(4, 50), (8, 50)]
+    assert len(found) == 12 and found[4, "iterations"] == found[8, "iterations"] == 50
